@@ -13,7 +13,7 @@ Further columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 OPENED = ("info", "metadata", "trajectory")
 
@@ -75,21 +75,22 @@ def file_schemas(kinds: DataFrame) -> DataFrame:
 def changes(lines: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field): what each file changes against the one before it in its run."""
     schemas = file_schemas(field_kinds(lines)).where("run_id IS NOT NULL AND file_seq IS NOT NULL AND file_id IS NOT NULL")
-    have = F.col("field").isNotNull()
-    # One row per file and per field of it or of its predecessor, from one aggregation instead of a full outer join.
-    mine = schemas.select("run_id", "file_seq", "field", F.lit(0).alias("side"), "file_id", "kind")
-    theirs = schemas.select("run_id", (F.col("file_seq") + 1).alias("file_seq"), "field", F.lit(1).alias("side"), F.lit(None).cast("long").alias("file_id"), "kind")
-    both = mine.unionByName(theirs)
-    files = both.groupBy("run_id", "file_seq").agg(F.max("file_id").alias("file_id"), F.max("side").alias("has_before")).where("file_id IS NOT NULL AND has_before = 1")
+    # Every schema row is sent to its own file and to the next one, so one pass over the lines serves both sides.
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    both = schemas.select("*", sides).select(
+        "run_id", (F.col("file_seq") + F.col("side")).alias("file_seq"), "field", "side", "kind",
+        F.when(F.col("side") == 0, F.col("file_id")).alias("file_id"),
+    )
+    here = Window.partitionBy("run_id", "file_seq")
     pairs = (
-        both.where(have)
-        .groupBy("run_id", "file_seq", "field")
+        both.groupBy("run_id", "file_seq", "field")
         .agg(
-            F.max(F.col("side") == 0).alias("is_now"), F.max(F.col("side") == 1).alias("was_before"),
+            F.max("file_id").alias("file_id"), F.max(F.col("side") == 0).alias("is_now"), F.max(F.col("side") == 1).alias("was_before"),
             F.max(F.when(F.col("side") == 0, F.col("kind"))).alias("new_kind"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("old_kind"),
         )
+        .withColumns({"file_id": F.max("file_id").over(here), "has_before": F.max("was_before").over(here)})
+        .where("file_id IS NOT NULL AND has_before AND field IS NOT NULL")
         .where("NOT (is_now AND was_before AND NOT coalesce(new_kind <> old_kind, false))")
-        .join(files.select("run_id", "file_seq", "file_id"), ["run_id", "file_seq"])
     )
     names = F.create_map(*[F.lit(x) for group, members in SYNONYMS.items() for m in members for x in (m, f"@{group}")])
     cases = (
