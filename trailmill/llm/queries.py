@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import splits
+from . import chunking, splits, token_budget
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,5 +23,37 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(whole)).select("split", "rows", "groups", F.round(F.col("rows") / F.col("whole"), 6).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report}
-SQL: dict[str, str] = {}
+def p3_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return token_budget.row_budget(table(spark, sf, "sft_merged"), table(spark, sf, "instances"), table(spark, sf, "repos"))
+
+
+def p3_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return token_budget.budget(p3_rows(spark, sf))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return token_budget.row_tokens(table(spark, sf, "sft_merged")).where("NOT usable").select("row_id")
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.split_rows(table(spark, sf, "sft_merged"), table(spark, sf, "size_limits"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pieces(spark, sf).where("piece_no = 1").select("row_id")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
+    "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
+    "p4_found": p4_found, "p4_pieces": p4_pieces,
+}
+
+_STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],
+    coalesce(list_transform(m.tool_calls, lambda c: c."function".arguments), []))))) AS piece FROM sft_merged"""
+SQL: dict[str, str] = {
+    "p3_found": f"""SELECT row_id FROM sft_merged ANTI JOIN (SELECT row_id FROM ({_STRINGS})
+        WHERE regexp_matches(piece, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]')) USING (row_id)""",
+    "p4_found": f"""SELECT row_id FROM ({_STRINGS}) GROUP BY row_id
+        HAVING sum(length(piece)) > (SELECT max_size FROM size_limits WHERE limit_name = 'trajectory_piece')""",
+}
