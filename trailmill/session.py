@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +44,40 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trailmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="trailmill-")  # the driver serves the file from there as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "trailmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._trailmill_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """`mapInArrow` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """`mapInPandas` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share: the one the session names in
     ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is made."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        import tempfile
-
         named = Path(tempfile.gettempdir(), "trailmill-checkpoints").as_uri()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
