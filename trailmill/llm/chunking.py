@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import map_pandas
 from .texts import n_chars, strings
 
 LEVELS = ("message", "paragraph", "line", "sentence", "word", "character")
@@ -27,7 +28,7 @@ _SEPARATORS = {
     "paragraph": re.compile(r"\n[ \t]*\n\s*"),
     "line": re.compile(r"\r\n|\n|\r"),
     "sentence": re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+[」』”’）]*\s*"),
-    "word": re.compile(r"\s+"),
+    "word": re.compile(r"\s+|[,;}\])](?=\S)"),
 }
 
 
@@ -110,4 +111,4 @@ def split_rows(rows: DataFrame, size_limits: DataFrame, name: str = "trajectory_
                 )
 
     schema = "row_id bigint, piece_no int, n_pieces int, char_from bigint, new_from bigint, char_to bigint, ends_at string, text string"
-    return large.mapInPandas(split, schema)
+    return map_pandas(large, split, schema)

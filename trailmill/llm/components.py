@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, map_pandas
 
 #: Most links that one task of the uppermost level takes. About 200 bytes of Python memory each.
 TASK_LINKS = 1_000_000
@@ -49,7 +49,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _local(links: DataFrame) -> DataFrame:
-    return links.mapInPandas(_forest, links.schema)
+    return map_pandas(links, _forest, links.schema)
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:

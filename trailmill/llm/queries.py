@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chunking, splits, token_budget
+from . import chunking, neardup, splits, token_budget
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,10 +43,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where("piece_no = 1").select("row_id")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.row_pairs(*neardup.similar(table(spark, sf, "sft_merged")))
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.groups(*neardup.similar(table(spark, sf, "sft_merged")))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p5_found": p5_found, "p5_groups": p5_groups,
 }
 
 _STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.instance_ids import issue_suffix, repo_name, unified_id
+from ..session import map_arrow
 from .splits import names_of
 from .texts import strings
 from .tokens import SAFE_CUT, VOCABULARY, encoder
@@ -67,9 +68,10 @@ def _walk(path: str):
 def piece_counts(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(k1, k2, n_tokens, solid) for every distinct `piece`; the keys are 128 bits of hash."""
     distinct = pieces.select("piece").distinct()
-    ordered = distinct.repartitionByRange("piece").sortWithinPartitions("piece")
+    # The bounds are sampled on the driver, so the range key is short; the hash splits a beginning that is too frequent.
+    ordered = distinct.repartitionByRange(F.substring("piece", 1, 48), F.xxhash64("piece")).sortWithinPartitions("piece")
     keyed = ordered.select("piece", *(k(F.col("piece")).alias(f"k{i}") for i, k in enumerate(_KEYS, 1)))
-    return keyed.mapInArrow(_walk(path), "k1 bigint, k2 bigint, n_tokens bigint, solid boolean")
+    return map_arrow(keyed, _walk(path), "k1 bigint, k2 bigint, n_tokens bigint, solid boolean")
 
 
 def row_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import map_arrow
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
@@ -42,4 +44,4 @@ def count_column(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "
             rest = [c for i, c in enumerate(batch.columns) if i != place]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64())], names=[*(f.name for f in kept), name])
 
-    return df.mapInArrow(count, f"{types}, `{name}` bigint")
+    return map_arrow(df, count, f"{types}, `{name}` bigint")
