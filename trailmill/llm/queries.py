@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chunking, neardup, splits, token_budget
+from . import chunking, mixing, neardup, packing, splits, token_budget
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,11 +51,45 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*neardup.similar(table(spark, sf, "sft_merged")))
 
 
+def _capacity(spark: SparkSession, sf: str) -> int:
+    return chunking.limits(table(spark, sf, "size_limits"), "pack_container").size
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.sizes(table(spark, sf, "documents")), _capacity(spark, sf))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.report(p6_containers(spark, sf), _capacity(spark, sf))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_containers(spark, sf).where("part_no = 1 AND container_id IS NOT NULL").select("doc_id")
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+def p7_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), exact=True)[1]
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_report(spark, sf).where("short AND used_tokens <= tokens * max_repeats").select("source")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_groups": p5_groups,
+    "p6_found": p6_found, "p6_containers": p6_containers, "p6_report": p6_report,
+    "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact,
 }
 
 _STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],
