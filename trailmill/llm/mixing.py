@@ -130,7 +130,8 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
                 )
 
     drawn = map_arrow(spark.range(shards).select("id"), draw, "shard bigint, slot bigint, source string, use_no bigint, block_no bigint")
-    mixed = drawn.join(pieces, ["source", "block_no"]).select("shard", "slot", "source", "use_no", "block_no", key, "token_from", "token_to")
+    # Spark takes the drawn slots for as small as the shard numbers they come from; they must not be broadcast.
+    mixed = drawn.hint("merge").join(pieces.hint("merge"), ["source", "block_no"]).select("shard", "slot", "source", "use_no", "block_no", key, "token_from", "token_to")
     used = mixed.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used_tokens"), (F.max("use_no") + 1).alias("most_uses"))
     schema = T.StructType([T.StructField(*x) for x in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("tokens", T.LongType()), ("short", T.BooleanType()))])
     asked = spark.createDataFrame([(g.source, g.share, g.repeats, int(n), bool(int(n) * (g.repeats or 0) < (g.share or 0) * total)) for g, n in zip(goals, have)], schema)
