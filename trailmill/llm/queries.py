@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chunking, mixing, neardup, packing, splits, token_budget
+from . import chunking, languages, mixing, neardup, packing, splits, token_budget
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +83,18 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_report(spark, sf).where("short AND used_tokens <= tokens * max_repeats").select("source")
 
 
+def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.identify(table(spark, sf, "documents"))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_languages(spark, sf).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.cases(p8_languages(spark, sf))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
@@ -90,6 +102,7 @@ QUERIES = {
     "p5_found": p5_found, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact,
+    "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments,
 }
 
 _STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],
