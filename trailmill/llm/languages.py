@@ -44,6 +44,7 @@ TRAIN_CHARS = 20_000
 ROUNDS = 3
 BITS = 16
 PENALTY = 6.0
+SURE = 25.0
 QUOTE = 100
 #: Sentences of which a document must have so many to hold a language.
 LEAST = 2
@@ -70,8 +71,9 @@ _INLINE = re.compile(
     r"`[^`\n]*`|</?[A-Za-z][^>\n]{0,80}>|https?://[^\s。]+|(?a:(?<![\w.~/-])[\w.~-]*/[\w./~-]*\w|\b[A-Za-z\d]*_\w+|\b\w+\.\w{1,4}\b(?=[\s,;:)]|$)|\b[A-Za-z]+\d+\b|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z0-9]+){2,}\b)"
 )
 _QUOTED = re.compile(rf"\"[^\"\n]{{0,{QUOTE}}}\"|“[^”\n]{{0,{QUOTE}}}”|«[^»\n]{{0,{QUOTE}}}»|「[^」\n]{{0,{QUOTE}}}」|『[^』\n]{{0,{QUOTE}}}』|„[^“”\n]{{0,{QUOTE}}}[“”]")
-_WRAP = re.compile(r"(?<=[^\W\d_])\n(?=[a-zà-ÿа-яё])")
-_STOP = re.compile(r"\n|[.!?…]+(?=[\s\"'»”)\]]|$)|[。！？]+")
+_WRAP = re.compile(r"\n(?<=[^\W\d_]\n)(?=[a-zà-ÿа-яё])")
+_STOP = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?=[\s\"'»”)\]]|$))")
+_MARKS = re.compile(r"[`/_<]")
 _LEAD = re.compile(r"[\s>*+\-•\d.)(\"'»”\]]*(?:[A-Za-z_]+:[ \t])?")
 _EAST = "぀-ヿ㐀-䶿一-鿿"
 _PROSE = re.compile(rf"(?:[{_EAST}][^{_EAST}]*){{4}}|(?:[^\W\d_]+[\W\d_]+){{3}}")
@@ -82,19 +84,22 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     t = text.replace("\r", " ")
     if "&" in t:
         t = _ENTITY.sub(lambda m: (u := html.unescape(m[0]))[:1].ljust(len(m[0]), "\0") if len(html.unescape(m[0])) == 1 else m[0], t)
-    t = _FENCE.sub(_blank, t)
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub(_blank, t)
     t = _LINES.sub(_blank, t)
-    t = _INLINE.sub(_blank, t)
     t = _QUOTED.sub(_blank, t)
     t = _WRAP.sub(" ", t)
     out, start = [], 0
     for m in _STOP.finditer(t):
         stop = m.end()
-        if m[0] != "\n" and stop - start > 3:
+        start = max(start, t.rfind("\n", start, stop) + 1)  # what a line leaves without an end is no sentence
+        if stop - start > 3:
             lead = _LEAD.match(t, start, stop).end()
             s = t[lead:stop]
             if "\0" in s:
                 s = s.replace("\0", "")
+            if _MARKS.search(s):
+                s = _INLINE.sub(" ", s)
             if _PROSE.search(s):
                 out.append((lead, stop, s.lower()))
         start = stop
@@ -114,8 +119,8 @@ def _fold_table() -> np.ndarray:
 _FOLD: list[np.ndarray] = []
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram, number of the text that it is in)."""
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n: the bucket of every n-gram, and the number of the text that it is in, ascending."""
     if not _FOLD:
         _FOLD.append(_fold_table())
     joined = np.frombuffer(" ".join(texts).encode("utf-32-le", "replace"), np.uint32)
@@ -129,18 +134,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     two = (symbols[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ symbols[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
     three = (two[:-1] ^ symbols[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
     own2, own3 = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
-    return np.concatenate(((two >> shift)[own2], (three >> shift)[own3])).astype(np.int64), np.concatenate((owner[:-1][own2], owner[:-2][own3]))
+    return [((two >> shift)[own2].astype(np.int64), owner[:-1][own2]), ((three >> shift)[own3].astype(np.int64), owner[:-2][own3])]
 
 
 def likelihoods(texts: list[str], model: np.ndarray) -> np.ndarray:
     """Log-likelihood of every text under every language."""
-    out = np.zeros((len(texts), model.shape[1]))
-    for low in range(0, len(texts), 2_000):
-        part = texts[low : low + 2_000]
-        grams, owner = features(part)
-        values = model[grams]
-        for k in range(model.shape[1]):
-            out[low : low + len(part), k] = np.bincount(owner, values[:, k], len(part))
+    out = np.zeros((len(texts), model.shape[1]), np.float32)
+    for low in range(0, len(texts), 1_000):
+        part = texts[low : low + 1_000]
+        for grams, owner in features(part):
+            if len(grams):
+                first = np.concatenate(([0], np.nonzero(np.diff(owner))[0] + 1))
+                out[low + owner[first]] += np.add.reduceat(model[grams], first, 0)
     return out
 
 
@@ -149,7 +154,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> tuple[np.nd
     codes = tuple(c for c in CODES if c in set(langs))
     if not codes:
         return np.zeros((1 << BITS, 0), np.float32), ()
-    grams, owner = features(texts)
+    grams, owner = (np.concatenate(x) for x in zip(*features(texts)))
     now = np.array([codes.index(x) for x in langs])
     for r in range(rounds):
         counts = np.stack([np.bincount(grams[now[owner] == k], minlength=1 << BITS) for k in range(len(codes))], 1)
@@ -176,8 +181,25 @@ def train(documents: DataFrame, key: str = "doc_id", docs: int = TRAIN_DOCS) ->
 def mixtures(logs: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(proportions by document, posteriors by sentence) of the selected languages.
 
-    `logs`: log-likelihood of each sentence by language; `doc`: the sentence's document, ascending.
+    `logs`: log-likelihood of each sentence by language; `doc`: the sentence's document, ascending. Where all sentences
+    of a document prefer one language by SURE nats, no other could pass the penalty, and the estimate is that language.
     """
+    top = np.partition(logs, -2, 1)[:, -2:] if logs.shape[1] > 1 else np.stack([logs[:, 0] - SURE, logs[:, 0]], 1)
+    best = logs.argmax(1)
+    plain = np.ones(n_docs, bool)
+    plain[doc[top[:, 1] - top[:, 0] < SURE]] = False
+    plain[doc[1:][(doc[1:] == doc[:-1]) & (best[1:] != best[:-1])]] = False
+    share, post = np.zeros((n_docs, logs.shape[1])), np.zeros(logs.shape)
+    post[np.arange(len(doc)), best] = 1
+    share[doc, best] = 1
+    mixed = np.nonzero(~plain)[0]
+    if len(mixed):
+        some = ~plain[doc]
+        share[mixed], post[some] = _mixtures(logs[some].astype(float), np.searchsorted(mixed, doc[some]), len(mixed), penalty)
+    return share, post
+
+
+def _mixtures(logs: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     k = logs.shape[1]
     starts = np.searchsorted(doc, np.arange(n_docs))
     size = np.bincount(doc, minlength=n_docs)
@@ -222,30 +244,41 @@ _OUT = pa.struct([("lang", pa.string()), ("sentences", pa.int32()), ("share", pa
 _SEGMENT = pa.struct([("char_from", pa.int64()), ("char_to", pa.int64()), ("lang", pa.string()), ("sentences", pa.int32()), ("confidence", pa.float64())])
 
 
+def _lists(owner: np.ndarray, n: int, fields: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    """A list of structs for each of n rows; `owner` is the row of each struct, ascending."""
+    ends = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+
 def _identify(model, codes: tuple[str, ...], penalty: float):
+    names = np.array(codes, object)
+
     def one(ids: pa.Array, texts: list, labels: list) -> pa.RecordBatch:
-        found, doc, spans = [], [], []
+        found, doc, low, high = [], [], [], []
         for d, t in enumerate(texts):
             for a, b, s in sentences(t) if t else ():
                 found.append(s)
                 doc.append(d)
-                spans.append((a, b))
-        langs: list[list] = [[] for _ in texts]
-        segments: list[list] = [[] for _ in texts]
-        if found and codes:
-            owner = np.array(doc)
+                low.append(a)
+                high.append(b)
+        owner, k = np.array(doc if codes else [], np.int64), max(1, len(codes))
+        if len(owner):
             share, post = mixtures(likelihoods(found, model.value), owner, len(texts), penalty)
             best, sure = post.argmax(1), post.max(1)
-            for d in np.unique(owner).tolist():
-                low, high = np.searchsorted(owner, [d, d + 1])
-                for k in np.unique(best[low:high]).tolist():
-                    mine = best[low:high] == k
-                    langs[d].append({"lang": codes[k], "sentences": int(mine.sum()), "share": float(share[d, k]), "confidence": float(sure[low:high][mine].mean())})
-                cuts = [low, *(np.nonzero(np.diff(best[low:high]))[0] + 1 + low).tolist(), high]
-                for x, y in zip(cuts, cuts[1:]):
-                    segments[d].append({"char_from": spans[x][0], "char_to": spans[y - 1][1], "lang": codes[best[x]], "sentences": y - x, "confidence": float(sure[x:y].mean())})
+        else:
+            share, best, sure = np.zeros((len(texts), k)), np.zeros(0, np.int64), np.zeros(0)
+        both = owner * k + best
+        count, total = np.bincount(both, minlength=len(texts) * k), np.bincount(both, sure, len(texts) * k)
+        held = np.nonzero(count)[0]
+        langs = [pa.array(names[held % k], pa.string()), pa.array(count[held], pa.int32()), pa.array(share.ravel()[held]), pa.array(total[held] / count[held])]
+        first = np.nonzero(np.concatenate(([True], both[1:] != both[:-1])))[0] if len(both) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(both)))
+        spans = [
+            pa.array(np.array(low, np.int64)[first]), pa.array(np.array(high, np.int64)[first + size - 1]), pa.array(names[best[first]], pa.string()),
+            pa.array(size, pa.int32()), pa.array(np.add.reduceat(sure, first) / size if len(first) else sure),
+        ]
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([label(x) for x in labels], pa.string()), pa.array(langs, pa.list_(_OUT)), pa.array(segments, pa.list_(_SEGMENT))],
+            [ids, pa.array([label(x) for x in labels], pa.string()), _lists(held // k, len(texts), langs, _OUT), _lists(owner[first], len(texts), spans, _SEGMENT)],
             names=["id", "label", "langs", "segments"],
         )
 
