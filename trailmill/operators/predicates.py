@@ -24,53 +24,72 @@ def _kind(v: str) -> str:
     return f"substring_index(substring_index(schema_of_variant({v}), '<', 1), '(', 1)"
 
 
-def _truthy(v: str) -> str:
-    """Whether a JSON value counts as true: not null, false, 0, '', [] or {}."""
-    return f"""CASE {_kind(v)} WHEN 'VOID' THEN false WHEN 'BOOLEAN' THEN try_variant_get({v}, '$', 'boolean')
-        WHEN 'STRING' THEN try_variant_get({v}, '$', 'string') <> ''
-        WHEN 'ARRAY' THEN size(try_variant_get({v}, '$', 'array<variant>')) > 0 WHEN 'OBJECT' THEN to_json({v}) <> '{{}}'
-        ELSE try_variant_get({v}, '$', 'double') <> 0 END"""
+def facts(rows: DataFrame, *paths: str) -> DataFrame:
+    """Adds for each path of `record` its JSON type (`_k_...`, null if missing), whether its value counts as true
+    (`_t_...`: not null, false, 0, '', [] or {}; null if missing) and its text (`_s_...`).
+
+    Each path is read once; what is made of it are plain columns, which keeps the generated code small.
+    """
+    rows = rows.selectExpr("*", *(f"{_get(p)} AS {_name('v', p)}" for p in paths))
+    rows = rows.selectExpr("*", *(f"{_kind(_name('v', p))} AS {_name('k', p)}" for p in paths))
+    texts = (f"CASE WHEN {_name('k', p)} = 'STRING' THEN try_variant_get({_name('v', p)}, '$', 'string') WHEN {_name('k', p)} <> 'VOID' THEN to_json({_name('v', p)}) END AS {_name('s', p)}" for p in paths)
+    rows = rows.selectExpr("*", *texts)
+    truths = (
+        f"CASE WHEN {_name('k', p)} IS NULL THEN NULL WHEN {_name('k', p)} = 'VOID' THEN false WHEN {_name('k', p)} = 'BOOLEAN' THEN {_name('s', p)} = 'true' "
+        f"WHEN {_name('k', p)} IN ('STRING', 'ARRAY', 'OBJECT') THEN {_name('s', p)} NOT IN ('', '[]', '{{}}') OR ({_name('k', p)} = 'STRING' AND {_name('s', p)} <> '') "
+        f"ELSE try_cast({_name('s', p)} AS double) <> 0 END AS {_name('t', p)}"
+        for p in paths
+    )
+    return rows.selectExpr("*", *truths).drop(*(_name("v", p) for p in paths))
+
+
+def _name(part: str, path: str) -> str:
+    return f"_{part}_{path.replace('.', '__')}"
 
 
-def _string(v: str) -> str:
-    return f"CASE WHEN {_kind(v)} = 'STRING' THEN try_variant_get({v}, '$', 'string') ELSE to_json({v}) END"
+def _drop_facts(rows: DataFrame) -> DataFrame:
+    return rows.drop(*(c for c in rows.columns if c.startswith(("_k_", "_t_", "_s_"))))
 
 
 def _first_true(*paths: str) -> str:
     """The text of the first of the paths that counts as true, in lower case; '' if none does."""
-    cases = " ".join(f"WHEN {_truthy(_get(p))} THEN lower({_string(_get(p))})" for p in paths)
-    return f"CASE {cases} ELSE '' END"
+    return f"CASE {' '.join(f'WHEN {_name("t", p)} THEN lower({_name("s", p)})' for p in paths)} ELSE '' END"
 
 
 def _flag(path: str) -> str:
     """A flag: texts must be one of TRUE_TEXTS, other values count by truth."""
-    v, truths = _get(path), ", ".join(f"'{x}'" for x in TRUE_TEXTS)
-    return f"WHEN {v} IS NOT NULL THEN CASE WHEN {_kind(v)} = 'STRING' THEN lower(try_variant_get({v}, '$', 'string')) IN ({truths}) ELSE {_truthy(v)} END"
+    truths = ", ".join(f"'{x}'" for x in TRUE_TEXTS)
+    return f"WHEN {_name('k', path)} IS NOT NULL THEN CASE WHEN {_name('k', path)} = 'STRING' THEN lower({_name('s', path)}) IN ({truths}) ELSE {_name('t', path)} END"
 
 
-def resolved(mode: str) -> Column:
-    """Whether a record counts as resolved.
+MODES = ("default_true", "default_false", "lenient", "plain")
+_KEYS = ("resolved", "success", "is_resolved")
+_PATHS = (*_KEYS, "info.resolved", "exit_status", "info.exit_status", "verifier_status", *(f"metadata.{k}" for k in _KEYS))
 
-    `default_true` and `default_false`: first flag present in the record, then `info.resolved` by truth, then the exit
-    status; the mode says what holds without any. `lenient`: flags of the record, a good status of it, the same of
-    `metadata`, else true. `plain`: `resolved` or `success` by truth, so any text but '' is true, else true.
-    """
-    done = ", ".join(f"'{x}'" for x in DONE)
-    keys = ("resolved", "success", "is_resolved")
+
+def _resolved(mode: str) -> Column:
+    done, flags = ", ".join(f"'{x}'" for x in DONE), " ".join(_flag(k) for k in _KEYS)
     if mode in ("default_true", "default_false"):
-        flags = " ".join(_flag(k) for k in keys)
-        status = _first_true("exit_status", "info.exit_status")
-        inner = f"WHEN {_get('info.resolved')} IS NOT NULL THEN {_truthy(_get('info.resolved'))}"
-        last = "true" if mode == "default_true" else "false"
-        return F.expr(f"CASE {flags} {inner} WHEN {status} <> '' THEN {status} IN ({done}) ELSE {last} END")
+        status, inner = _first_true("exit_status", "info.exit_status"), f"WHEN {_name('k', 'info.resolved')} IS NOT NULL THEN {_name('t', 'info.resolved')}"
+        return F.expr(f"CASE {flags} {inner} WHEN {status} <> '' THEN {status} IN ({done}) ELSE {str(mode == 'default_true').lower()} END")
     if mode == "lenient":
-        own, meta = " ".join(_flag(k) for k in keys), " ".join(_flag(f"metadata.{k}") for k in keys)
-        return F.expr(f"CASE {own} WHEN {_first_true('exit_status', 'verifier_status')} IN ({done}, 'completed') THEN true {meta} ELSE true END")
+        meta = " ".join(_flag(f"metadata.{k}") for k in _KEYS)
+        return F.expr(f"CASE {flags} WHEN {_first_true('exit_status', 'verifier_status')} IN ({done}, 'completed') THEN true {meta} ELSE true END")
     if mode == "plain":
-        return F.expr("CASE " + " ".join(f"WHEN {_get(k)} IS NOT NULL THEN {_truthy(_get(k))}" for k in ("resolved", "success")) + " ELSE true END")
+        return F.expr("CASE " + " ".join(f"WHEN {_name('k', k)} IS NOT NULL THEN {_name('t', k)}" for k in ("resolved", "success")) + " ELSE true END")
     raise ValueError(f"unknown mode {mode}")
 
 
+def with_resolved(rows: DataFrame, *modes: str) -> DataFrame:
+    """Adds for each mode, under its name, whether a record counts as resolved.
+
+    `default_true` and `default_false`: first flag present in the record, then `info.resolved` by truth, then the exit
+    status; the mode says what holds without any. `lenient`: flags of the record, a good status of it, the flags of
+    `metadata`, else true. `plain`: `resolved` or `success` by truth, so any text but '' is true, else true.
+    """
+    return _drop_facts(facts(rows, *_PATHS).withColumns({m: _resolved(m) for m in modes}))
+
+
 def _as_list(path: str, encoded: bool) -> str:
     """A list that is not empty, given as such or (if `encoded`) as JSON in a string."""
     v = _get(path)
@@ -78,7 +97,7 @@ def _as_list(path: str, encoded: bool) -> str:
     if encoded:
         text = f"try_parse_json(try_variant_get({v}, '$', 'string'))"
         plain = f"coalesce({plain}, CASE WHEN {_kind(v)} = 'STRING' AND {_kind(text)} = 'ARRAY' THEN try_variant_get({text}, '$', 'array<variant>') END)"
-    return f"filter(array({plain}), x -> size(x) > 0)[0]"
+    return f"get(filter(array({plain}), x -> size(x) > 0), 0)"
 
 
 def message_list(paths: tuple[str, ...] = CONTAINERS, encoded: bool = True) -> Column:
@@ -91,13 +110,13 @@ def container(paths: tuple[str, ...] = CONTAINERS, encoded: bool = True) -> Colu
     return F.expr(f"CASE {' '.join(f'''WHEN {_as_list(p, encoded)} IS NOT NULL THEN '{p}' ''' for p in paths)} END")
 
 
-def instance_id() -> Column:
-    """`instance_id`, `id`, `metadata.instance_id`, then `metadata.sample_id` from behind its first `::`; '' and other
-    values that count as false are passed over."""
-    parts = [f"CASE WHEN {_truthy(_get(p))} THEN {_string(_get(p))} END" for p in ("instance_id", "id", "metadata.instance_id")]
-    sample = f"CASE WHEN {_truthy(_get('metadata.sample_id'))} THEN {_string(_get('metadata.sample_id'))} END"
-    parts.append(f"CASE WHEN instr({sample}, '::') > 0 THEN substr({sample}, instr({sample}, '::') + 2) ELSE {sample} END")
-    return F.expr(f"coalesce({', '.join(parts)})")
+def with_instance_id(rows: DataFrame, name: str = "instance_id") -> DataFrame:
+    """Adds `instance_id`, `id`, `metadata.instance_id`, then `metadata.sample_id` from behind its first `::`; '' and
+    other values that count as false are passed over."""
+    paths = ("instance_id", "id", "metadata.instance_id", "metadata.sample_id")
+    *plain, sample = (f"CASE WHEN {_name('t', p)} THEN {_name('s', p)} END" for p in paths)
+    cut = f"CASE WHEN instr({sample}, '::') > 0 THEN substr({sample}, instr({sample}, '::') + 2) ELSE {sample} END"
+    return _drop_facts(facts(rows, *paths).withColumn(name, F.expr(f"coalesce({', '.join(plain)}, {cut})")))
 
 
 def difficulty() -> Column:

@@ -22,4 +22,33 @@ def p1_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_union_schema": p1_union_schema, "p1_records": p1_records}
-SQL: dict[str, str] = {}
+
+_OPENED = ", ".join(f"'{x}'" for x in drift.OPENED)
+
+
+def _type(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END"
+
+
+_FIELDS = f"""recs AS (SELECT file_id, run_id, file_seq, raw::JSON AS j FROM raw_records WHERE json_valid(raw) AND json_type(raw::JSON) = 'OBJECT'),
+    tops AS (SELECT file_id, run_id, file_seq, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM recs)),
+    inners AS (SELECT file_id, run_id, file_seq, k || '.' || q AS field, json_extract(v, '$."' || q || '"') AS v FROM (SELECT *, unnest(json_keys(v)) AS q FROM tops WHERE k IN ({_OPENED}) AND json_type(v) = 'OBJECT')),
+    fields AS (SELECT file_id, run_id, file_seq, field, {_type('v')} AS kind FROM (SELECT file_id, run_id, file_seq, k AS field, v FROM tops WHERE NOT (k IN ({_OPENED}) AND json_type(v) = 'OBJECT') UNION ALL SELECT * FROM inners))"""
+
+_MEANING = "CASE " + " ".join(f"WHEN field IN {members} THEN '@{name}'" for name, members in drift.SYNONYMS.items()) + " ELSE field END"
+
+SQL: dict[str, str] = {
+    "p1_union_schema": f"""WITH {_FIELDS}, per AS (SELECT file_id, run_id, file_seq, field, coalesce(kind, 'null') AS kind, count(*) AS n FROM fields GROUP BY ALL)
+        SELECT field, kind, sum(n)::BIGINT AS records, count(*) AS files, arg_min(file_id, (run_id, file_seq, file_id)) AS first_file FROM per GROUP BY ALL""",
+    "p1_found": f"""WITH {_FIELDS}, counted AS (SELECT file_id, run_id, file_seq, field, kind, count(*) AS n FROM fields GROUP BY ALL),
+        schemas AS (SELECT file_id, run_id, file_seq, field, arg_max(kind, (n, -ascii(kind), -ascii(substr(kind, 2, 1)))) FILTER (kind IS NOT NULL) AS kind FROM counted GROUP BY ALL),
+        files AS (SELECT DISTINCT file_id, run_id, file_seq FROM raw_records WHERE file_id IS NOT NULL AND run_id IS NOT NULL AND file_seq IS NOT NULL),
+        followed AS (SELECT b.file_id, a.file_id AS before_id FROM files b JOIN files a ON a.run_id = b.run_id AND a.file_seq = b.file_seq - 1),
+        now AS (SELECT f.file_id, s.field, s.kind FROM followed f JOIN schemas s ON s.file_id = f.file_id), old AS (SELECT f.file_id, s.field, s.kind FROM followed f JOIN schemas s ON s.file_id = f.before_id),
+        went AS (SELECT *, {_MEANING} AS meaning FROM old ANTI JOIN now USING (file_id, field)), came AS (SELECT *, {_MEANING} AS meaning FROM now ANTI JOIN old USING (file_id, field)),
+        w AS (SELECT file_id, meaning, count(*) AS n, min(field) AS field, min(kind) AS kind FROM went GROUP BY ALL), c AS (SELECT file_id, meaning, count(*) AS n, min(field) AS field, min(kind) AS kind FROM came GROUP BY ALL),
+        renamed AS (SELECT file_id, meaning, w.field AS old_field, c.field AS new_field, w.kind <> c.kind AS retyped FROM w JOIN c USING (file_id, meaning) WHERE w.n = 1 AND c.n = 1 AND starts_with(meaning, '@'))
+        SELECT file_id, 'retyped' AS change_kind, field AS old_field, field AS new_field FROM now JOIN old USING (file_id, field) WHERE now.kind <> old.kind
+        UNION ALL SELECT file_id, 'renamed', old_field, new_field FROM renamed UNION ALL SELECT file_id, 'retyped', old_field, new_field FROM renamed WHERE retyped
+        UNION ALL SELECT file_id, 'removed', field, '' FROM went ANTI JOIN renamed USING (file_id, meaning) UNION ALL SELECT file_id, 'added', '', field FROM came ANTI JOIN renamed USING (file_id, meaning)""",
+}

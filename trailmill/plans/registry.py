@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drift_queries
+from . import core_queries, drift_queries
 
-_MODULES = (drift_queries,)
+_MODULES = (core_queries, drift_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "traj_message_stats"
