@@ -107,7 +107,16 @@ QUERIES = {
 
 _STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],
     coalesce(list_transform(m.tool_calls, lambda c: c."function".arguments), []))))) AS piece FROM sft_merged"""
+_IDS = r"""SELECT *, CASE WHEN contains(core, '__') AND NOT regexp_matches(core, '^[^_/]+/') THEN core ELSE regexp_replace(core, '^([^/_]+)(?:/|_1776_|_s_)', '\1__') END AS spelled
+    FROM (SELECT *, CASE WHEN contains(t, '::') AND NOT regexp_matches(split_part(t, '::', 1), '__|/|_1776_') THEN substr(t, instr(t, '::') + 2) ELSE t END AS core
+        FROM (SELECT row_id, regexp_replace(lower(regexp_replace(instance_id, '^\s+|\s+$', '', 'g')), '(::chunk\d+)+$', '') AS t FROM sft_merged))"""
 SQL: dict[str, str] = {
+    "p2_found": rf"""WITH RECURSIVE links AS (SELECT lower(repo) AS a, 'owner:' || lower(owner) AS b FROM repos UNION SELECT lower(repo), lower(fork_of) FROM repos WHERE fork_of IS NOT NULL),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT lower(repo) AS x, lower(repo) AS y FROM repos UNION SELECT r.x, w.b FROM reach r JOIN ways w ON w.a = r.y),
+        families AS (SELECT x AS node, min(repo) AS family FROM reach JOIN repos ON lower(repo) = y GROUP BY 1),
+        names AS (SELECT lower(repo) AS name, lower(repo) AS node FROM repos UNION ALL SELECT lower(former_name), lower(repo) FROM repos WHERE former_name IS NOT NULL AND lower(former_name) NOT IN (SELECT lower(repo) FROM repos)),
+        ids AS (SELECT row_id, regexp_replace(regexp_replace(spelled, '#(\d+)$', '-\1'), '(-\d+|\.[0-9a-f]{{6,40}}\..*)$', '') AS name FROM ({_IDS}))
+        SELECT row_id, family FROM ids JOIN names USING (name) JOIN families USING (node)""",
     "p3_found": f"""SELECT row_id FROM sft_merged ANTI JOIN (SELECT row_id FROM ({_STRINGS})
         WHERE regexp_matches(piece, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]')) USING (row_id)""",
     "p4_found": f"""SELECT row_id FROM ({_STRINGS}) GROUP BY row_id
