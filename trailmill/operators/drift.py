@@ -157,7 +157,7 @@ def unify(lines: DataFrame) -> DataFrame:
     TRUE_TEXTS. What cannot be converted is null in the canonical column and stays in its branch.
     """
     holders = tuple(p for p in SYNONYMS["messages"] if p != "trajectory") + ("trajectory",)
-    parsed = parse(lines).where("record IS NOT NULL AND schema_of_variant(record) LIKE 'OBJECT%'")
+    parsed = parse(lines.select("file_id", "run_id", "file_seq", "line_no", "raw")).where("record IS NOT NULL AND schema_of_variant(record) LIKE 'OBJECT%'")
     kept = parsed.selectExpr(
         "file_id", "run_id", "file_seq", "line_no", "record",
         f"{_pick(holders)} AS m", f"{_pick(SYNONYMS['resolved'])} AS r", f"{_pick(SYNONYMS['exit_status'])} AS e",
