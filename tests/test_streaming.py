@@ -1,0 +1,37 @@
+from pyspark.sql import functions as F
+
+from trailmill.streaming import rollout_queue as Q
+
+
+def run(df, name, mode="append"):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_correlation_equals_batch_and_reports_timeouts(spark, tmp_path):
+    jobs = spark.sql("SELECT job_id, 'p' AS payload, cast(created_at AS timestamp) AS created_at FROM VALUES ('a', '2025-01-01 00:00:00'), ('b', '2025-01-01 00:05:00'), ('c', '2025-01-01 00:06:00') t(job_id, created_at)")
+    results = spark.sql("SELECT job_id, reward, cast(NULL AS string) AS error, cast(result_at AS timestamp) AS result_at FROM VALUES ('a', 1, '2025-01-01 00:30:00'), ('a', 1, '2025-01-01 00:30:00'), ('b', 1, '2025-01-01 04:00:00'), ('x', 1, '2025-01-01 00:30:00') t(job_id, reward, result_at)")
+    flush_j = spark.sql("SELECT 'z' AS job_id, 'p' AS payload, cast('2025-01-02 00:00:00' AS timestamp) AS created_at")
+    flush_r = spark.sql("SELECT 'y' AS job_id, 0 AS reward, cast(NULL AS string) AS error, cast('2025-01-02 00:00:00' AS timestamp) AS result_at")
+    for df, name in ((jobs, "j"), (flush_j, "j"), (results, "r"), (flush_r, "r")):
+        df.coalesce(1).write.mode("append").json(str(tmp_path / name))
+    job_stream, result_stream = Q.jobs(spark, str(tmp_path / "j"), 10), Q.results(spark, str(tmp_path / "r"))
+    got = {r.job_id: r.reward for r in run(Q.correlate(job_stream, result_stream), "correlated").collect()}
+    assert got == {"a": 1, "b": None, "c": None}
+
+
+def test_queue_round_trip(spark, tmp_path):
+    Q.enqueue(spark.createDataFrame([("p1",), ("p2",)], "payload string"), str(tmp_path / "jobs"))
+    runner = lambda b: b.select("job_id", F.length("payload").cast("int").alias("reward"), F.lit(None).cast("string").alias("error"), F.col("created_at").alias("result_at"))
+    Q.work(Q.jobs(spark, str(tmp_path / "jobs")), runner, str(tmp_path / "results"), str(tmp_path / "cp")).awaitTermination()
+    done = spark.read.schema(Q.RESULT).json(str(tmp_path / "results"))
+    assert done.count() == 2 and done.select("job_id").distinct().count() == 2 and {r.reward for r in done.collect()} == {2}
+
+
+def test_step_snapshots(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (2, 0), (2, 1), (4, 1)], "step int, reward int").write.json(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema("step int, reward int").json(str(tmp_path / "in"))
+    Q.step_snapshots(stream, 2, lambda df, n: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == [(2, 2, 0.5, 1), (4, 1, 1.0, 1)]

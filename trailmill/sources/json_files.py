@@ -28,10 +28,9 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, record VARIANT) of everything below a directory: each line of `*.jsonl`, each item of a list and each
     object in `*.json` (each file once, also `*.traj.json`). Files of JSON that cannot be read are left out; a bad
     line raises."""
-    options = {"recursiveFileLookup": "true"}
     where = F.col("_metadata.file_path").alias("path")
-    lines = spark.read.options(pathGlobFilter="*.jsonl", **options).text(path).select(where, trim_ws(F.col("value")).alias("raw")).where("raw <> ''").select("path", F.parse_json("raw").alias("record"))
-    files = spark.read.options(pathGlobFilter="*.json", wholetext="true", **options).text(path).select(where, F.try_parse_json("value").alias("doc")).where("doc IS NOT NULL")
+    lines = spark.read.text(path, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(where, trim_ws(F.col("value")).alias("raw")).where("raw <> ''").select("path", F.parse_json("raw").alias("record"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(where, F.try_parse_json("value").alias("doc")).where("doc IS NOT NULL")
     kind = F.split_part(F.schema_of_variant("doc"), F.lit("<"), F.lit(1))
     items = F.when(kind == "ARRAY", F.expr("try_variant_get(doc, '$', 'array<variant>')")).when(kind == "OBJECT", F.array("doc"))
     return lines.unionAll(files.select("path", F.explode(items).alias("record")))
