@@ -70,8 +70,9 @@ _LINES = re.compile(
 _INLINE = re.compile(
     r"`[^`\n]*`|</?[A-Za-z][^>\n]{0,80}>|https?://[^\s。]+|(?a:(?<![\w.~/-])[\w.~-]*/[\w./~-]*\w|\b[A-Za-z\d]*_\w+|\b\w+\.\w{1,4}\b(?=[\s,;:)]|$)|\b[A-Za-z]+\d+\b|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z0-9]+){2,}\b)"
 )
+_SPAN = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(rf"\"[^\"\n]{{0,{QUOTE}}}\"|“[^”\n]{{0,{QUOTE}}}”|«[^»\n]{{0,{QUOTE}}}»|「[^」\n]{{0,{QUOTE}}}」|『[^』\n]{{0,{QUOTE}}}』|„[^“”\n]{{0,{QUOTE}}}[“”]")
-_WRAP = re.compile(r"\n(?<=[^\W\d_]\n)(?=[a-zà-ÿа-яё])")
+_WRAP = re.compile(r"\n(?<=[^\W\d_]\n)(?=[a-zà-ÿа-яё])(?![A-Za-z_]+:)")
 _STOP = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?=[\s\"'»”)\]]|$))")
 _MARKS = re.compile(r"[`/_<]")
 _LEAD = re.compile(r"[\s>*+\-•\d.)(\"'»”\]]*(?:[A-Za-z_]+:[ \t])?")
@@ -87,6 +88,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     if "```" in t or "~~~" in t:
         t = _FENCE.sub(_blank, t)
     t = _LINES.sub(_blank, t)
+    t = _SPAN.sub(_blank, t)
     t = _QUOTED.sub(_blank, t)
     t = _WRAP.sub(" ", t)
     out, start = [], 0
@@ -168,7 +170,7 @@ def train(documents: DataFrame, key: str = "doc_id", docs: int = TRAIN_DOCS) ->
     """Models from about `docs` documents (chosen by hash of the id) of at most TRAIN_CHARS characters with a label."""
     rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").select(key, "text", "lang")
     span = 1 << 30
-    chosen = rows.where((F.pmod(F.xxhash64(F.lit(11), key), F.lit(span)) < int(span * min(1.0, docs / max(1, rows.count())))) & (F.length("text") <= TRAIN_CHARS))
+    chosen = rows.where((F.pmod(F.xxhash64(F.lit(11), key), F.lit(span)) < int(span * min(1.0, docs / max(1, documents.count())))) & (F.length("text") <= TRAIN_CHARS))
     texts, langs = [], []
     for row in chosen.select("text", "lang").limit(2 * docs).collect():
         if code := label(row.lang):

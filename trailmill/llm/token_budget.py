@@ -6,7 +6,7 @@ nodes on the path to the last piece carry the exact state of the tokenizer there
 white space came), so a shared beginning is tokenized once. Nodes lie only at places where the text can be cut without
 changing its tokens. The counts at the terminals are joined back to the rows that use the piece.
 
-Defined cases: null messages, null and empty strings have no tokens; a row without instance, language, source or domain
+Defined cases: row ids are unique; rows without one are left out; null messages, null and empty strings have no tokens; a row without instance, language, source or domain
 counts under 'unknown'; an instance delivered with different languages counts under 'unclear'; repeated rows are rows;
 empty tables give empty results; further columns are ignored. Frequent pieces (a system prompt) are one piece in the
 trie; the join of its many uses is split by Spark's adaptive skew handling.
@@ -76,7 +76,7 @@ def piece_counts(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def row_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(row_id, n_tokens, usable): one row for each of `rows`."""
-    texts = rows.select("row_id", strings(F.col("messages")).alias("texts"))
+    texts = rows.where("row_id IS NOT NULL").select("row_id", strings(F.col("messages")).alias("texts"))
     uses = texts.select("row_id", F.explode_outer("texts").alias("piece"))
     counts = piece_counts(uses.where("piece IS NOT NULL"), path)
     links = uses.select("row_id", *(F.when(F.col("piece").isNotNull(), k(F.col("piece"))).alias(f"k{i}") for i, k in enumerate(_KEYS, 1)))
