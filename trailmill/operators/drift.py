@@ -148,6 +148,20 @@ def _text(v: str) -> str:
     return f"coalesce(CASE WHEN {_KIND.format(v)} = 'string' THEN try_variant_get({v}, '$', 'string') END, CASE WHEN NOT is_variant_null({v}) THEN to_json({v}) END)"
 
 
+def typed_messages(listed: str) -> str:
+    """SQL: an ARRAY<VARIANT> of messages with fixed fields. Content parts are joined; call arguments become text."""
+    content = f"""CASE WHEN {_KIND.format("try_variant_get(x, '$.content', 'variant')")} = 'array' THEN
+        array_join(transform(try_variant_get(x, '$.content', 'array<variant>'),
+            p -> coalesce(try_variant_get(p, '$.text', 'string'), CASE WHEN {_KIND.format("p")} = 'string' THEN try_variant_get(p, '$', 'string') ELSE '' END)), '')
+        ELSE {_text("try_variant_get(x, '$.content', 'variant')")} END"""
+    arguments = _text("try_variant_get(c, '$.function.arguments', 'variant')")
+    return f"""transform({listed}, x -> named_struct('role', try_variant_get(x, '$.role', 'string'), 'content', {content},
+        'tool_calls', transform(try_variant_get(x, '$.tool_calls', 'array<variant>'), c -> named_struct(
+            'id', try_variant_get(c, '$.id', 'string'), 'type', try_variant_get(c, '$.type', 'string'),
+            'function', named_struct('name', try_variant_get(c, '$.function.name', 'string'), 'arguments', {arguments}))),
+        'tool_call_id', try_variant_get(x, '$.tool_call_id', 'string'), 'name', try_variant_get(x, '$.name', 'string')))"""
+
+
 def unify(lines: DataFrame) -> DataFrame:
     """One row per readable record in fixed columns.
 
@@ -174,22 +188,12 @@ def unify(lines: DataFrame) -> DataFrame:
         "CASE WHEN exit_status_kind = 'number' THEN try_variant_get(e, '$', 'double') END AS exit_status_number",
         "CASE WHEN exit_status_kind = 'object' THEN to_json(e) END AS exit_status_object",
     )
-    content = f"""CASE WHEN {_KIND.format("try_variant_get(x, '$.content', 'variant')")} = 'array' THEN
-        array_join(transform(try_variant_get(x, '$.content', 'array<variant>'),
-            p -> coalesce(try_variant_get(p, '$.text', 'string'), CASE WHEN {_KIND.format("p")} = 'string' THEN try_variant_get(p, '$', 'string') ELSE '' END)), '')
-        ELSE {_text("try_variant_get(x, '$.content', 'variant')")} END"""
-    arguments = _text("try_variant_get(c, '$.function.arguments', 'variant')")
-    message = f"""named_struct('role', try_variant_get(x, '$.role', 'string'), 'content', {content},
-        'tool_calls', transform(try_variant_get(x, '$.tool_calls', 'array<variant>'), c -> named_struct(
-            'id', try_variant_get(c, '$.id', 'string'), 'type', try_variant_get(c, '$.type', 'string'),
-            'function', named_struct('name', try_variant_get(c, '$.function.name', 'string'), 'arguments', {arguments}))),
-        'tool_call_id', try_variant_get(x, '$.tool_call_id', 'string'), 'name', try_variant_get(x, '$.name', 'string'))"""
     listed = "coalesce(messages_array, try_variant_get(try_parse_json(messages_string), '$', 'array<variant>'))"
     truths = ", ".join(f"'{x}'" for x in TRUE_TEXTS)
     return branched.selectExpr("*", f"{listed} AS listed").selectExpr(
         "file_id", "run_id", "file_seq", "line_no",
         f"CASE WHEN instance_id_kind = 'string' THEN try_variant_get(i, '$', 'string') ELSE {_text('i')} END AS instance_id",
-        f"transform(listed, x -> {message}) AS messages", "messages_kind",
+        f"{typed_messages('listed')} AS messages", "messages_kind",
         f"coalesce(resolved_boolean, resolved_number <> 0, lower(trim(resolved_string)) IN ({truths})) AS resolved",
         "resolved_kind", "resolved_boolean", "resolved_number", "resolved_string",
         "coalesce(exit_status_string, CASE WHEN exit_status_number = floor(exit_status_number) THEN cast(cast(exit_status_number AS bigint) AS string) ELSE cast(exit_status_number AS string) END, try_variant_get(e, '$.reason', 'string')) AS exit_status",

@@ -60,7 +60,8 @@ def first_n(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 def numbered(rows: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
     """Adds 0, 1, ... over the whole table in the given order, by range partitions and their offsets."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number keeps the partitions the same in both uses
+    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     return running_total(parts, [], F.col("_part"), list(order), F.lit(1), name).drop("_part")
 
 
