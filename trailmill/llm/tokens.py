@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.tokenizers import rank_file as encoder
 from ..session import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    """The tokenizer of a rank file; loaded once per Python worker."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 #: Places where a text can be cut without changing its tokens: the pattern never joins a character that is no white
 #: space with white space after it, and never looks back.
 SAFE_CUT = re.compile(r"(?<=\S)(?=\n)|(?<=[.:;!?。！？])(?=[ \t])")
