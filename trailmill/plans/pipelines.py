@@ -19,15 +19,16 @@ def _extracted(records: DataFrame, mode: str, paths: tuple[str, ...], encoded: b
     rows = P.with_resolved(records, mode).withColumnRenamed(mode, "resolved")
     rows = P.with_instance_id(rows).withColumn("_listed", P.message_list(paths, encoded))
     meta = lambda p, t="string": F.expr(f"try_variant_get(record, '$.{p}', '{t}')")
-    return rows.withColumns(
-        {
-            "messages": F.expr(drift.typed_messages("_listed")),
-            "metadata": F.struct(
-                F.coalesce(meta("exit_status"), meta("info.exit_status"), meta("metadata.exit_status")).alias("exit_status"), F.col("resolved").alias("resolved"),
-                F.coalesce(meta("n_turns", "int"), F.size("_listed")).alias("n_turns"), meta("metadata.dataset").alias("dataset"), meta("metadata.teacher").alias("teacher"), P.difficulty().alias("difficulty"),
-            ),
-        }
-    ).drop("_listed")
+    made = F.struct(
+        "instance_id", "resolved", F.expr(drift.typed_messages("_listed")).alias("messages"),
+        F.struct(
+            F.coalesce(meta("exit_status"), meta("info.exit_status"), meta("metadata.exit_status")).alias("exit_status"), F.col("resolved").alias("resolved"),
+            F.coalesce(meta("n_turns", "int"), F.size("_listed")).alias("n_turns"), meta("metadata.dataset").alias("dataset"), meta("metadata.teacher").alias("teacher"), P.difficulty().alias("difficulty"),
+        ).alias("metadata"),
+    )
+    # A generator of one row: filters on what was extracted would otherwise be pushed below and extract it again.
+    others = [c for c in records.columns if c not in ("record", "instance_id", "resolved", "messages", "metadata")]
+    return rows.select(*others, "record", F.inline(F.array(made)))
 
 
 def _finish(rows: DataFrame, source: str) -> DataFrame:
