@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
 from .text import json_string_length
 
 CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
@@ -105,11 +106,11 @@ def attach_call_ids(messages: Column, passes: int = 1) -> Column:
         got = F.when(needs, F.get(pending, F.when(n > 0, k % n).otherwise(F.lit(0))))
         return F.struct(pending.alias("pending"), (k + needs.cast("int")).alias("k"), F.concat(s["given"], F.array(got)).alias("given"))
 
-    given = F.aggregate(listed(messages), start, step, lambda s: s["given"])
-    return F.zip_with(
-        listed(messages), given,
+    pair = lambda ms: F.zip_with(
+        ms, F.aggregate(ms, start, step, lambda s: s["given"]),
         lambda m, g: F.struct(m["role"].alias("role"), _text(m).alias("content"), m["tool_calls"].alias("tool_calls"), F.coalesce(g, m["tool_call_id"]).alias("tool_call_id"), m["name"].alias("name")),
     )
+    return let(listed(messages), pair)
 
 
 def normalize(messages: Column, passes: int = 1) -> Column:
@@ -135,22 +136,30 @@ def trainable(messages: Column) -> Column:
 def response_view(messages: Column) -> Column:
     """The first two messages as they are, then the trainable rest without the user messages at its end; of up to two
     messages the trainable ones."""
-    n = F.size(listed(messages))
-    tail = trainable(F.slice(listed(messages), F.lit(3), F.greatest(n - 2, F.lit(0))))
-    # The number of messages after the last that is not a user's.
-    trailing = F.aggregate(tail, F.lit(0), lambda k, m: F.when(m["role"] == "user", k + 1).otherwise(F.lit(0)))
-    return F.when(n <= 2, trainable(messages)).otherwise(F.concat(F.slice(listed(messages), F.lit(1), F.lit(2)), F.slice(tail, F.lit(1), F.size(tail) - trailing)))
+    def view(ms: Column) -> Column:
+        n = F.size(ms)
+        tail = trainable(F.slice(ms, F.lit(3), F.greatest(n - 2, F.lit(0))))
+        return F.when(n <= 2, trainable(ms)).otherwise(F.concat(F.slice(ms, F.lit(1), F.lit(2)), let(tail, cut)))
+
+    def cut(tail: Column) -> Column:
+        # The number of messages after the last that is not a user's.
+        trailing = F.aggregate(tail, F.lit(0), lambda k, m: F.when(m["role"] == "user", k + 1).otherwise(F.lit(0)))
+        return F.slice(tail, F.lit(1), F.size(tail) - trailing)
+
+    return let(listed(messages), view)
 
 
 def response_problem(messages: Column) -> Column:
     """Why a rollout cannot be trained on, else null."""
-    view = response_view(messages)
-    head, rest = F.slice(view, 1, 2), F.slice(view, F.lit(3), F.greatest(F.size(view) - 2, F.lit(0)))
-    return (
-        F.when(F.size(view) < 3, "too_few_messages")
-        .when(F.exists(head, lambda m: ~F.coalesce(m["role"].isin("system", "user"), F.lit(False))), "bad_prompt_roles")
-        .when(~F.coalesce(F.exists(rest, lambda m: m["role"] == "assistant"), F.lit(False)), "no_assistant")
-    )
+    def problem(view: Column) -> Column:
+        head, rest = F.slice(view, 1, 2), F.slice(view, F.lit(3), F.greatest(F.size(view) - 2, F.lit(0)))
+        return (
+            F.when(F.size(view) < 3, "too_few_messages")
+            .when(F.exists(head, lambda m: ~F.coalesce(m["role"].isin("system", "user"), F.lit(False))), "bad_prompt_roles")
+            .when(~F.coalesce(F.exists(rest, lambda m: m["role"] == "assistant"), F.lit(False)), "no_assistant")
+        )
+
+    return let(response_view(messages), problem)
 
 
 def linearize(messages: Column) -> Column:

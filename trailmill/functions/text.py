@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 #: What may not occur in generated code that is to be run.
 BANNED = ("os.system", "subprocess", "shutil.rmtree", "__import__", "eval(", "exec(", "open(", "compile(")
 
@@ -44,13 +46,16 @@ def error_tail(output: Column, prefix: str = "(truncated)\n", keep: int = 1_000)
 
 def extract_code(completion: Column) -> Column:
     """Of the fenced blocks the last with `def `, else the last, else the whole text; null if nothing is left."""
+    def bare(code: Column) -> Column:
+        inner = trim_ws(F.regexp_replace(F.regexp_replace(code, r"(?i)\A```(?:python)?\s*", ""), r"\s*```\z", ""))
+        return F.when(code != "", F.when(code.startswith("```"), inner).otherwise(code))
+
+    def choose(blocks: Column) -> Column:
+        functions = F.filter(blocks, lambda b: b.contains("def "))
+        return let(functions, lambda f: F.when(F.size(f) > 0, F.element_at(f, -1)).when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(trim_ws(completion)))
+
     blocks = F.transform(F.regexp_extract_all(completion, F.lit(r"(?is)```(?:python)?\s*\n?(.*?)```"), F.lit(1)), trim_ws)
-    functions = F.filter(blocks, lambda b: b.contains("def "))
-    chosen = F.when(F.size(functions) > 0, F.element_at(functions, -1)).when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(trim_ws(completion))
-    bare = F.when(
-        chosen.startswith("```"), trim_ws(F.regexp_replace(F.regexp_replace(chosen, r"(?i)\A```(?:python)?\s*", ""), r"\s*```\z", ""))
-    ).otherwise(chosen)
-    return F.when(chosen != "", bare)
+    return let(let(blocks, choose), bare)
 
 
 def is_safe_code(code: Column) -> Column:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
+from ..functions.binding import let, let_all
 from ..functions.tokenizers import rank_file
 from ..session import map_arrow
 
@@ -61,24 +62,30 @@ def fitting_prefix(costs: Column, budget: Column | int, least: int = 1) -> Colum
 def smart_tail(costs: Column, budget: int, head: int = HEAD) -> Column:
     """STRUCT<truncated, kept_tail, dropped_messages, original, final, fallback>: the head and the longest suffix that
     fits; if none does, the head alone, with `fallback` set and `final` the head's cost."""
-    n = F.size(costs)
-    cut = F.least(F.lit(head), n)
-    tail = F.slice(costs, cut + 1, F.greatest(n - cut, F.lit(0)))
-    first = total(F.slice(costs, F.lit(1), cut))
-    kept = fitting_prefix(F.reverse(tail), F.lit(budget) - first, 0)
-    original, fits = total(costs), total(costs) <= budget
-    final = F.when(fits, original).otherwise(first + total(F.slice(F.reverse(tail), F.lit(1), kept)))
-    return F.struct(
-        (~fits).alias("truncated"), F.when(fits, n - cut).otherwise(kept).alias("kept_tail"), F.when(fits, F.lit(0)).otherwise(n - cut - kept).alias("dropped_messages"),
-        original.alias("original"), final.alias("final"), F.when(~fits & (kept == 0), "token_keep_end").alias("fallback"),
-    )
+    def facts(c: Column) -> Column:
+        n = F.size(c)
+        cut = F.least(F.lit(head), n)
+        tail = F.reverse(F.slice(c, cut + 1, F.greatest(n - cut, F.lit(0))))
+        return let_all(decide, rest=n - cut, tail=tail, first=total(F.slice(c, F.lit(1), cut)), all=total(c))
+
+    def decide(f: Column) -> Column:
+        return let_all(lambda k: result(f, k["kept"], k["fits"]), kept=fitting_prefix(f["tail"], F.lit(budget) - f["first"], 0), fits=f["all"] <= budget)
+
+    def result(f: Column, kept: Column, fits: Column) -> Column:
+        return F.struct(
+            (~fits).alias("truncated"), F.when(fits, f["rest"]).otherwise(kept).alias("kept_tail"), F.when(fits, F.lit(0)).otherwise(f["rest"] - kept).alias("dropped_messages"),
+            f["all"].alias("original"), F.when(fits, f["all"]).otherwise(f["first"] + total(F.slice(f["tail"], F.lit(1), kept))).alias("final"), F.when(~fits & (kept == 0), "token_keep_end").alias("fallback"),
+        )
+
+    return let(F.coalesce(costs, F.array().cast("array<bigint>")), facts)
 
 
 def smart_tail_messages(messages: Column, costs: Column, budget: int, head: int = HEAD) -> Column:
-    kept = smart_tail(costs, budget, head)["kept_tail"]
-    m = M.listed(messages)
-    n, cut = F.size(m), F.least(F.lit(head), F.size(m))
-    return F.concat(F.slice(m, F.lit(1), cut), F.slice(m, n - kept + 1, kept))
+    def cut(v: Column) -> Column:
+        n = F.size(v["m"])
+        return F.concat(F.slice(v["m"], F.lit(1), F.least(F.lit(head), n)), F.slice(v["m"], n - v["kept"] + 1, v["kept"]))
+
+    return let_all(cut, m=M.listed(messages), kept=smart_tail(costs, budget, head)["kept_tail"])
 
 
 def chunks(costs: Column, budget: int, head: int = HEAD) -> Column:
@@ -86,29 +93,34 @@ def chunks(costs: Column, budget: int, head: int = HEAD) -> Column:
     the head. One too large for itself has a chunk of its own, of which nothing but the head is kept. A row that fits is
     one chunk; one over budget without a tail has none.
     """
-    n = F.size(costs)
-    cut = F.least(F.lit(head), n)
-    first = total(F.slice(costs, F.lit(1), cut))
-    tail = F.transform(F.slice(costs, cut + 1, F.greatest(n - cut, F.lit(0))), lambda c: F.coalesce(c, F.lit(0)).cast("long"))
     kind = "array<struct<chunk_start:int,chunk_end:int,kept:int,cost:bigint>>"
-    room = F.lit(budget) - first
 
-    def chunk(start: Column, end: Column, cost: Column) -> Column:
-        fits = cost <= room
-        return F.struct(start.alias("chunk_start"), end.alias("chunk_end"), F.when(fits, end - start).otherwise(F.lit(0)).alias("kept"), (first + F.when(fits, cost).otherwise(F.lit(0))).alias("cost"))
+    def facts(c: Column) -> Column:
+        n = F.size(c)
+        cut = F.least(F.lit(head), n)
+        tail = F.transform(F.slice(c, cut + 1, F.greatest(n - cut, F.lit(0))), lambda x: F.coalesce(x, F.lit(0)).cast("long"))
+        return let_all(split, rest=n - cut, tail=tail, first=total(F.slice(c, F.lit(1), cut)), all=total(c))
 
-    state = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("cost"))
+    def split(f: Column) -> Column:
+        room = F.lit(budget) - f["first"]
 
-    def step(s: Column, c: Column) -> Column:
-        new = (s["at"] > s["start"]) & (s["cost"] + c > room)
-        return F.struct(
-            F.when(new, F.concat(s["done"], F.array(chunk(s["start"], s["at"], s["cost"])))).otherwise(s["done"]).alias("done"),
-            F.when(new, s["at"]).otherwise(s["start"]).alias("start"), (s["at"] + 1).alias("at"), F.when(new, c).otherwise(s["cost"] + c).alias("cost"),
-        )
+        def chunk(start: Column, end: Column, cost: Column) -> Column:
+            fits = cost <= room
+            return F.struct(start.alias("chunk_start"), end.alias("chunk_end"), F.when(fits, end - start).otherwise(F.lit(0)).alias("kept"), (f["first"] + F.when(fits, cost).otherwise(F.lit(0))).alias("cost"))
+
+        def step(s: Column, c: Column) -> Column:
+            new = (s["at"] > s["start"]) & (s["cost"] + c > room)
+            return F.struct(
+                F.when(new, F.concat(s["done"], F.array(chunk(s["start"], s["at"], s["cost"])))).otherwise(s["done"]).alias("done"),
+                F.when(new, s["at"]).otherwise(s["start"]).alias("start"), (s["at"] + 1).alias("at"), F.when(new, c).otherwise(s["cost"] + c).alias("cost"),
+            )
+
+        state = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("cost"))
+        parts = F.aggregate(f["tail"], state, step, lambda s: F.when(s["at"] > s["start"], F.concat(s["done"], F.array(chunk(s["start"], s["at"], s["cost"])))).otherwise(s["done"]))
+        whole = F.array(F.struct(F.lit(0).alias("chunk_start"), f["rest"].alias("chunk_end"), f["rest"].alias("kept"), f["all"].alias("cost")))
+        return F.when(f["all"] <= budget, whole.cast(kind)).otherwise(parts)
 
-    split = F.aggregate(tail, state, step, lambda s: F.when(s["at"] > s["start"], F.concat(s["done"], F.array(chunk(s["start"], s["at"], s["cost"])))).otherwise(s["done"]))
-    whole = F.array(F.struct(F.lit(0).alias("chunk_start"), (n - cut).alias("chunk_end"), (n - cut).alias("kept"), total(costs).alias("cost")))
-    return F.when(total(costs) <= budget, whole.cast(kind)).otherwise(split)
+    return let(F.coalesce(costs, F.array().cast("array<bigint>")), facts)
 
 
 def expand(rows: DataFrame, policy: str, budget: int, costs: Column | None = None, head: int = HEAD) -> DataFrame:
