@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.instance_ids import core_id, repo_name
 from ..functions.ranking import rank
+from ..functions.skew import join_by_weight
+from ..session import cut
 from .components import components
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -95,6 +97,7 @@ def assign(groups: DataFrame, shares: dict[str, float] | None = None) -> DataFra
 
 def split_records(records: DataFrame, repos: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """(row_id, family, group, split) for every record."""
+    key = "row_id"
     rows = grouped(records, repos)
     sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
-    return rows.join(assign(sizes, shares), "group").select("row_id", "family", "group", "split")
+    return join_by_weight(rows, cut(assign(sizes, shares)), ["group"], "size", key).select("row_id", "family", "group", "split")

@@ -9,7 +9,7 @@ changing its tokens. The counts at the terminals are joined back to the rows tha
 Defined cases: row ids are unique; rows without one are left out; null messages, null and empty strings have no tokens; a row without instance, language, source or domain
 counts under 'unknown'; an instance delivered with different languages counts under 'unclear'; repeated rows are rows;
 empty tables give empty results; further columns are ignored. Frequent pieces (a system prompt) are one piece in the
-trie; the join of its many uses is split by Spark's adaptive skew handling.
+trie; the join of its many uses spreads them (`join_by_weight`).
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.instance_ids import issue_suffix, repo_name, unified_id
-from ..session import map_arrow
+from ..functions.skew import join_by_weight
+from ..session import cut, map_arrow
 from .splits import names_of
 from .texts import strings
 from .tokens import SAFE_CUT, VOCABULARY, encoder
@@ -60,30 +61,30 @@ def _walk(path: str):
                 last = segments
                 counts.append(total)
                 solid.append(some)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(solid, pa.bool_())], names=["k1", "k2", "n_tokens", "solid"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1), pa.array(counts, pa.int64()), pa.array(solid, pa.bool_())], names=["k1", "k2", "uses", "n_tokens", "solid"])
 
     return walk
 
 
 def piece_counts(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(k1, k2, n_tokens, solid) for every distinct `piece`; the keys are 128 bits of hash."""
-    distinct = pieces.select("piece").distinct()
+    """(k1, k2, uses, n_tokens, solid) for every distinct `piece`; the keys are 128 bits of hash."""
+    distinct = pieces.groupBy("piece").agg(F.count("*").alias("uses"))
     # The bounds are sampled on the driver, so the range key is short; the hash splits a beginning that is too frequent.
     ordered = distinct.repartitionByRange(F.substring("piece", 1, 48), F.xxhash64("piece")).sortWithinPartitions("piece")
-    keyed = ordered.select("piece", *(k(F.col("piece")).alias(f"k{i}") for i, k in enumerate(_KEYS, 1)))
-    return map_arrow(keyed, _walk(path), "k1 bigint, k2 bigint, n_tokens bigint, solid boolean")
+    keyed = ordered.select("piece", "uses", *(k(F.col("piece")).alias(f"k{i}") for i, k in enumerate(_KEYS, 1)))
+    return map_arrow(keyed, _walk(path), "k1 bigint, k2 bigint, uses bigint, n_tokens bigint, solid boolean")
 
 
 def row_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(row_id, n_tokens, usable): one row for each of `rows`."""
     texts = rows.where("row_id IS NOT NULL").select("row_id", strings(F.col("messages")).alias("texts"))
     uses = texts.select("row_id", F.explode_outer("texts").alias("piece"))
-    counts = piece_counts(uses.where("piece IS NOT NULL"), path)
+    counts = cut(piece_counts(uses.where("piece IS NOT NULL"), path))
     links = uses.select("row_id", *(F.when(F.col("piece").isNotNull(), k(F.col("piece"))).alias(f"k{i}") for i, k in enumerate(_KEYS, 1)))
     # Rows without a piece meet no count; a key of their own keeps them apart.
     links = links.withColumn("k2", F.coalesce("k2", F.xxhash64("row_id"))).withColumn("k1", F.coalesce("k1", F.lit(0)))
     return (
-        links.join(counts, ["k1", "k2"], "left")
+        join_by_weight(links, counts, ["k1", "k2"], "uses", "row_id")
         .groupBy("row_id")
         .agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.max("solid"), F.lit(False)).alias("usable"))
     )
