@@ -27,7 +27,7 @@ LEVELS = ("message", "paragraph", "line", "sentence", "word", "character")
 _SEPARATORS = {
     "paragraph": re.compile(r"\n[ \t]*\n\s*"),
     "line": re.compile(r"\r\n|\n|\r"),
-    "sentence": re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+[」』”’）]*\s*"),
+    "sentence": re.compile(r"(?<![.!?…])[.!?…]++[\"')\]]*+\s++|(?<![。！？])[。！？]++[」』”’）]*+\s*+"),
     "word": re.compile(r"\s+|[,;}\])](?=\S)"),
 }
 

@@ -77,7 +77,7 @@ _STOP = re.compile(r"[.!?…。！？](?:(?<=[。！？])|(?=[\s\"'»”)\]]|$))
 _MARKS = re.compile(r"[`/_<]")
 _LEAD = re.compile(r"[\s>*+\-•\d.)(\"'»”\]]*(?:[A-Za-z_]+:[ \t])?")
 _EAST = "぀-ヿ㐀-䶿一-鿿"
-_PROSE = re.compile(rf"(?:[{_EAST}][^{_EAST}]*){{4}}|(?:[^\W\d_]+[\W\d_]+){{3}}")
+_PROSE = re.compile(rf"(?:[{_EAST}][^{_EAST}]*+){{4}}|(?<![^\W\d_])(?:[^\W\d_]++[\W\d_]++){{3}}")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
