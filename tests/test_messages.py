@@ -84,7 +84,7 @@ def test_normalize_and_linearize(spark):
 def test_repo_names(spark):
     cases = {
         "Owner__Name-12": "owner__name", " owner/name#7 ": "owner__name", "owner_1776_na-me-3": "owner__na-me", "set::owner__n.py-4::chunk2": "owner__n.py", "owner__n.py.2c2e5adb.func_pm__96f5e528": "owner__n.py",
-        "run_traj_00012": None, "": None, "  ": None, None: None, "owner_s_name-1": "owner__name", "owner__a_1776_b-2": "owner__a_1776_b",
+        "run_traj_00012": None, "": None, "  ": None, None: None, "owner_s_name-1": "owner__name", "x" * 200_000 + "::a__b-1": "a__b", "a__b-" + "1" * 100_000: "a__b", "a:b::c__d-1": "c__d", "owner__a_1776_b-2": "owner__a_1776_b",
     }
     df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "row_id int, x string")
     assert value(df, I.repo_name(F.col("x"))) == list(cases.values())

@@ -14,7 +14,9 @@ def core_id(instance_id: Column) -> Column:
     """The id in lower case without surrounding blanks, data-set prefix and chunk suffix; null if nothing is left."""
     s = F.lower(F.regexp_replace(instance_id, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     s = F.regexp_replace(s, r"(::chunk\d+)+$", "")
-    s = F.regexp_replace(s, r"^(?:(?!__|/|_1776_)[^:]|:(?!:))*::", "")
+    prefix = F.substring_index(s, "::", 1)
+    named = prefix.contains("__") | prefix.contains("/") | prefix.contains("_1776_")
+    s = F.when(s.contains("::") & ~named, F.substr(s, F.instr(s, "::") + 2)).otherwise(s)
     return F.nullif(s, F.lit(""))
 
 
