@@ -53,6 +53,18 @@ def test_rl_rows_and_merge(spark):
     assert report["raw_percentiles"]["n"] == 8 and report["expansion"]["input_rows"] == 8
 
 
+def test_code_tasks(spark, tmp_path):
+    tasks = L.task_rows(spark.createDataFrame([(1, " add ", ["assert add(1, 2) == 3"] * 4, "import math\n\n"), (2, "no", [], None)], "task_id int, text string, test_list array<string>, test_setup_code string"))
+    one = tasks.where("task_id = 1").first()
+    assert one.prompt[0].content.count("assert") == 3 and one.test_imports == ["import math"]
+    completions = spark.createDataFrame([(1, "```python\ndef add(a, b):\n    return a + b\n```"), (2, "x")], "task_id int, text string")
+    got = {r.task_id: (r.passed, r.total, r.pass_all) for r in L.score_completions(tasks, completions, allow=True).collect()}
+    assert got == {1: (4, 4, True), 2: (0, 0, False)}
+    assert L.write_splits(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "x int, split string"), "split", str(tmp_path / "s")) == {"a": 1, "b": 2}
+    df = spark.createDataFrame([('[{"content": "hi"}]',), ('"text"',), ('{"a":1}',)], "raw string").selectExpr("parse_json(raw) AS completion")
+    assert [r[0] for r in df.select(L.P.completion_text()).collect()] == ["hi", "text", '{"a":1}']
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/x.jsonl").write_text("\n".join(json.dumps({"id": f"a-{i}", "messages": NATIVE}) for i in range(5)))

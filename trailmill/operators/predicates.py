@@ -119,6 +119,12 @@ def with_instance_id(rows: DataFrame, name: str = "instance_id") -> DataFrame:
     return _drop_facts(facts(rows, *paths).withColumn(name, F.expr(f"coalesce({', '.join(plain)}, {cut})")))
 
 
+def completion_text(value: str = "completion") -> Column:
+    """Of a VARIANT completion: the content of its first chat message, else the value as text."""
+    chat = f"CASE WHEN {_kind(value)} = 'ARRAY' THEN try_variant_get({value}, '$[0].content', 'string') END"
+    return F.expr(f"coalesce({chat}, CASE WHEN {_kind(value)} = 'STRING' THEN try_variant_get({value}, '$', 'string') ELSE to_json({value}) END)")
+
+
 def difficulty() -> Column:
     """First of `difficulty`, `difficulty_score`, `score` that is not null, then `metadata.difficulty`; as DOUBLE."""
     value = lambda p: f"coalesce(try_variant_get(record, '$.{p}', 'double'), try_cast(try_variant_get(record, '$.{p}', 'string') AS double))"

@@ -10,6 +10,7 @@ from ..functions.instance_ids import repo_from_instance_id
 from ..operators import context, joins, metrics, predicates as P, rewards, sampling
 from ..operators.drift import parse
 from ..session import table
+from ..streaming.tables import run_complete, streamed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUDGET = 20_000
@@ -41,8 +42,9 @@ _CALL = f"""{len('{"id": , "type": , "function": {"name": , "arguments": }}') +
 _COST = f"coalesce(length(m.content), 0) + coalesce(list_sum(list_transform(m.tool_calls, lambda c: {_CALL})), 0)"
 #: One row for each message, numbered from 1, with its cost.
 _FLAT = f"flat AS (SELECT row_id, i, m, ({_COST})::BIGINT AS cost FROM (SELECT row_id, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_merged))"
-_SIZES = f"""{_FLAT}, sized AS (SELECT s.row_id, coalesce(len(s.messages), 0)::INT AS n_messages, coalesce(t.chars, 0)::BIGINT AS chars, floor(coalesce(t.chars, 0) / 3.2::DOUBLE)::BIGINT AS tokens
+_SIZED = """sized AS (SELECT s.row_id, coalesce(len(s.messages), 0)::INT AS n_messages, coalesce(t.chars, 0)::BIGINT AS chars, floor(coalesce(t.chars, 0) / 3.2::DOUBLE)::BIGINT AS tokens
     FROM sft_merged s LEFT JOIN (SELECT row_id, sum(cost) AS chars FROM flat GROUP BY row_id) t USING (row_id))"""
+_SIZES = f"{_FLAT}, {_SIZED}"
 _HAS = "coalesce(len(m.tool_calls), 0) > 0"
 _NATIVE = f"""{_FLAT}, turns AS (SELECT row_id, i, m.role AS role, coalesce(m.content, '') AS content, {_HAS} AS calls, m FROM flat),
     firsts AS (SELECT *, min(CASE WHEN role = 'assistant' AND calls THEN i END) OVER (PARTITION BY row_id) AS first_call FROM turns),
@@ -95,7 +97,7 @@ def _rejected(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", native.alias("native"), detail.alias("detail"), text.alias("text"))
 
 
-_REASONS = f"""WITH {_NATIVE}, {_SIZES.partition(', ')[2] if False else _SIZES[len(_FLAT) + 2:]}, reasons AS (SELECT s.row_id,
+_REASONS = f"""WITH {_NATIVE}, {_SIZED}, reasons AS (SELECT s.row_id,
     CASE WHEN NOT {_RESOLVED} THEN 'unresolved' WHEN n_messages = 0 THEN 'no_messages' WHEN coalesce(s.instance_id, '') = '' THEN 'no_instance_id'
         WHEN f.reason IS NOT NULL THEN 'invalid_native_tool' WHEN tokens > 5000 THEN 'too_many_tokens' END AS native,
     CASE WHEN NOT {_RESOLVED} THEN 'unresolved' WHEN n_messages = 0 THEN 'no_messages' WHEN coalesce(s.instance_id, '') = '' THEN 'no_instance_id'
@@ -625,6 +627,20 @@ def repaired_messages(spark, sf):
     return _sft(spark, sf).where("messages IS NOT NULL").select("row_id", F.size(metrics.repair(F.col("messages"), "<returncode>")).alias("messages"))
 
 
+@query("SELECT repetition_id AS step, count(*) AS rollouts, round(avg(reward), 6) AS mean_reward, count_if(coalesce(reward >= 1, false))::BIGINT AS resolved FROM rollouts GROUP BY 1")
+def stream_step_metrics(spark, sf):
+    stream = streamed(spark, sf, "rollouts")
+    return run_complete(metrics.step_metrics(stream, F.col("repetition_id")))
+
+
+@query("SELECT date_trunc('day', finished_at) AS day, coalesce(nullif(lower(exit_status), ''), 'none') AS exit_status, count(*) AS rows FROM rollouts WHERE finished_at IS NOT NULL GROUP BY ALL")
+def stream_daily_status(spark, sf):
+    stream = streamed(spark, sf, "rollouts").withColumn("at", F.col("finished_at").cast("timestamp")).withWatermark("at", "1 hour")
+    status = F.coalesce(F.nullif(F.lower("exit_status"), F.lit("")), F.lit("none")).alias("exit_status")
+    counted = stream.where("at IS NOT NULL").groupBy(F.window("at", "1 day").alias("w"), status).agg(F.count("*").alias("rows"))
+    return run_complete(counted.select(F.col("w.start").alias("day"), "exit_status", "rows")).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 @query()
 def prediction_lines(spark, sf):
     from ..sources.json_files import prediction_lines as lines

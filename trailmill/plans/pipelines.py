@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import messages as M
-from ..operators import context, drift, joins, metrics, predicates as P, sampling
+from ..functions import messages as M, text as X
+from ..operators import context, drift, joins, metrics, predicates as P, rewards, sampling
 
 ROW = ("instance_id", "messages", "source", "metadata")
 
@@ -123,3 +123,22 @@ def length_report(rows: DataFrame, percentile: int = 95, block: int = 4096, cap:
         **metrics.recommend(effective, "n", percentile, block, cap).first().asDict(),
         "expansion": context.expansion_stats(rows, policy, int((limit or cap) * M.CHARS_PER_TOKEN)).first().asDict(),
     }
+
+
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """(task_id, prompt, test_list, test_imports) of code tasks (task_id, text, test_list, test_setup_code)."""
+    prompt = F.array(F.struct(F.lit("user").alias("role"), X.task_prompt(F.col("text"), F.col("test_list")).alias("content")))
+    return tasks.select("task_id", prompt.alias("prompt"), "test_list", X.import_lines(F.col("test_setup_code")).alias("test_imports"))
+
+
+def score_completions(tasks: DataFrame, completions: DataFrame, allow: bool = False) -> DataFrame:
+    """Per-sample results (task_id, passed, total, pass_all, has_code, execution_reward) of completions (task_id, text);
+    banned texts are not looked for here. Runs generated code: has to be allowed."""
+    joined = tasks.select("task_id", "test_list", "test_imports").join(completions.select("task_id", "text"), "task_id")
+    return rewards.execution_reward(joined, "task_id", "text", "test_list", "test_imports", allow=allow, check_safety=False)
+
+
+def write_splits(rows: DataFrame, split: str, path: str) -> dict[str, int]:
+    """One folder for each split; returns the rows of each."""
+    rows.write.mode("overwrite").partitionBy(split).parquet(path)
+    return {r[0]: r[1] for r in rows.sparkSession.read.parquet(path).groupBy(split).count().collect()}
