@@ -79,6 +79,10 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, chat)], f"row_id bigint, messages {MESSAGES}")
     r = context.loss_mask(df, "row_id", path).first()
     assert len(r.response_ids) == len(r.loss_mask) and 0 < sum(r.loss_mask) < len(r.loss_mask)
+    words = lambda text: [len(w) for w in text.split(" ")]
+    assert context._differences(words, ["a b", " c", " dd e"], 1, words("a b")) == [[1], [2, 1]]
+    with pytest.raises(ValueError):
+        context._differences(words, ["a b", "c"], 1, words("a b"))
     t = context.tokenize(df, "row_id", path, 5, 50256).first()
     assert len(t.input_ids) == 5 and t.input_ids[-1] == 50256 and t.full_length > 5
     assert context.token_costs(df, "row_id", path).first().costs[0] > 3

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.binding import let, let_all
-from ..functions.tokenizers import rank_file
+from ..functions.tokenizers import Tokenizer, rank_file
 from ..session import map_arrow
 
 HEAD = 2
@@ -185,6 +185,19 @@ def tokenize(rows: DataFrame, key: str, path: str, most: int, eos: int | None =
     return map_arrow(rows.select(key, M.linearize(F.col("messages")).alias("text")), run, f"`{key}` {kind}, input_ids array<int>, full_length bigint")
 
 
+def _differences(encode: Tokenizer, texts: list[str], head: int, known: list[int]) -> list[list[int]]:
+    """By which ids each message lengthens the tokens of all before it."""
+    so_far, out = "".join(texts[:head]), []
+    for text in texts[head:]:
+        so_far += text
+        now = encode(so_far)
+        if now[: len(known)] != known:
+            raise ValueError("the tokenizer changes earlier ids")
+        out.append(now[len(known) :])
+        known = now
+    return out
+
+
 def loss_mask(rows: DataFrame, key: str, path: str, head: int = HEAD) -> DataFrame:
     """(key, prompt_ids, response_ids, loss_mask): each message's ids are those by which it lengthens the tokens of all
     before it; the mask is 1 for assistants. A tokenizer for which a longer text changes earlier ids raises."""
@@ -196,17 +209,11 @@ def loss_mask(rows: DataFrame, key: str, path: str, head: int = HEAD) -> DataFra
         for batch in batches:
             prompts, responses, masks = [], [], []
             for texts, roles in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                prompt = encode("".join(texts[:head]))
-                so_far, ids, mask = "".join(texts[:head]), [], []
-                known = prompt
-                for text, role in zip(texts[head:], roles[head:]):
-                    so_far += text
-                    now = encode(so_far)
-                    if now[: len(known)] != known:
-                        raise ValueError("the tokenizer changes earlier ids")
-                    ids += (new := now[len(known) :])
-                    mask += [int(role == "assistant")] * len(new)
-                    known = now
+                prompt, parts = encode("".join(texts[:head])), [encode(t) for t in texts[head:]]
+                if [*prompt, *(i for part in parts for i in part)] != encode("".join(texts)):  # messages are not tokenized independently
+                    parts = _differences(encode, texts, head, prompt)
+                ids = [i for part in parts for i in part]
+                mask = [int(role == "assistant") for part, role in zip(parts, roles[head:]) for _ in part]
                 prompts.append(prompt)
                 responses.append(ids)
                 masks.append(mask)

@@ -72,13 +72,25 @@ def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
+_OWN: list[str] = []
+
+
+def _own_folder() -> str:
+    """A folder of this process for sessions that name none, that is, local ones; it goes with the process."""
+    if not _OWN:
+        folder = tempfile.mkdtemp(prefix="trailmill-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN.append(Path(folder).as_uri())
+    return _OWN[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share: the one the session names in
     ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is made."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = Path(tempfile.gettempdir(), "trailmill-checkpoints").as_uri()
+        named = _own_folder()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
