@@ -21,8 +21,8 @@ def percentiles(rows: DataFrame, length: str, percents: tuple[int, ...] = PERCEN
     histogram = rows.where(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("v")).agg(F.count("*").alias("c"))
     bucket = F.floor(F.log2(F.greatest(F.col("v"), F.lit(0)) + F.lit(1.0)) * 64).cast("int")
     running = running_total(histogram, [], bucket, ["v"], F.col("c"), "below")
-    n = histogram.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    joined = running.crossJoin(F.broadcast(n))
+    # The number of rows is a scalar subquery, not a join.
+    joined = running.withColumn("n", histogram.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar())
     pick = lambda p: F.coalesce(F.min(F.when(F.col("below") + F.col("c") >= F.greatest(F.ceil(F.col("n") * p / F.lit(100.0)), F.lit(1)), F.col("v"))), F.lit(0))
     return joined.agg(*(pick(p).alias(f"p{p}") for p in percents), F.coalesce(F.max("v"), F.lit(0)).alias("max"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
 
@@ -38,7 +38,7 @@ def recommend(rows: DataFrame, length: str, percentile: int = 95, block: int = 4
     """One row (recommended, truncated_pct): the percentile rounded up to a block, at least a block, at most the cap."""
     target = percentiles(rows, length, (percentile,))
     best = F.least(F.lit(cap), F.greatest(F.lit(block), F.ceil(F.col(f"p{percentile}") / block) * block)).cast("long")
-    joined = rows.select(length).crossJoin(F.broadcast(target.select(best.alias("recommended"))))
+    joined = rows.select(length).withColumn("recommended", target.select(best).scalar())
     return joined.agg(F.max("recommended").alias("recommended"), F.round(100.0 * F.avg((F.col(length) > F.col("recommended")).cast("int")), 2).alias("truncated_pct"))
 
 

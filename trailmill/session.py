@@ -89,8 +89,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is made."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = _own_folder()
+    named = named or sc.getCheckpointDir() or _own_folder()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
