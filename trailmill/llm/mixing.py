@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.ranking import hash_bucket, running_total
 from ..session import cut, map_arrow
@@ -136,6 +136,6 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
     schema = T.StructType([T.StructField(*x) for x in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("tokens", T.LongType()), ("short", T.BooleanType()))])
     asked = spark.createDataFrame([(g.source, g.share, g.repeats, int(n), bool(int(n) * (g.repeats or 0) < (g.share or 0) * total)) for g, n in zip(goals, have)], schema)
     joined = asked.join(used, "source", "left").withColumns({"used_tokens": F.coalesce("used_tokens", F.lit(0)), "most_uses": F.coalesce("most_uses", F.lit(0))})
-    whole = joined.agg(F.sum("used_tokens").alias("_all"))
-    reached = joined.crossJoin(F.broadcast(whole)).withColumn("share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(0.0))
+    everything = Window.partitionBy()  # over the rows of the fixed table of targets
+    reached = joined.withColumn("_all", F.sum("used_tokens").over(everything)).withColumn("share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(0.0))
     return mixed, reached.select("source", "target_share", "max_repeats", "tokens", "used_tokens", "share", "most_uses", "short")

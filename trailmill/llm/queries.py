@@ -19,8 +19,8 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = p2_splits(spark, sf).groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("group").alias("groups"))
-    whole = rows.agg(F.sum("rows").alias("whole"))
-    return rows.crossJoin(F.broadcast(whole)).select("split", "rows", "groups", F.round(F.col("rows") / F.col("whole"), 6).alias("share"))
+    whole = table(spark, sf, "sft_merged").agg(F.count("*")).scalar()
+    return rows.select("split", "rows", "groups", F.round(F.col("rows") / whole, 6).alias("share"))
 
 
 def p3_rows(spark: SparkSession, sf: str) -> DataFrame:
