@@ -41,6 +41,14 @@ def test_order_batch_and_positions(rows):
     assert [r.instance_id for r in S.positions(rows, 2, 4, "instance_id").collect()] == [r.instance_id for r in numbered[2:4]]
 
 
+def test_numbered_keeps_the_order_of_a_table_with_further_columns(spark):
+    rows = spark.range(0, 60_000, 1, 8).select("id", F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("extra"))
+    got = [(r.h, r.id, r.extra) for r in S.numbered(rows, "h", "id").orderBy("ordinal").collect()]
+    assert got == sorted((r.h, r.id, r.extra) for r in rows.collect())
+    numbers = S.numbered(rows, "h", "id").agg(F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal"), F.count_distinct("extra")).first()
+    assert tuple(numbers) == (0, 59_999, 60_000, 60_000)
+
+
 def test_union_and_sticky(spark, rows):
     both = S.union_all([rows, rows.select("instance_id").withColumn("x", F.lit(1))])
     assert both.count() == 118 and set(both.columns) == {"instance_id", "repo", "x", "input_no"}

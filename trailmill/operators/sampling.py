@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import hash_bucket, rank, running_total
+from ..session import cut
 
 SEPARATOR = ":"
 
@@ -59,10 +60,14 @@ def first_n(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """Adds 0, 1, ... over the whole table in the given order, by range partitions and their offsets."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number keeps the partitions the same in both uses
-    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    return running_total(parts, [], F.col("_part"), list(order), F.lit(1), name).drop("_part")
+    """Adds 0, 1, ... over the whole table in the given order, by range partitions and their offsets. The partitions are
+    materialised: planned twice, they would be sampled twice, and the offsets would not belong to the rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))  # as Spark composes it
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_offset")).drop("_part", "_id", "_offset")
 
 
 def positions(rows: DataFrame, low: int, high: int, *order: Column | str) -> DataFrame:
