@@ -1,6 +1,7 @@
 import json
 
 from trailmill.operators import drift
+from trailmill.plans import drift_queries
 
 SCHEMA = "file_id bigint, run_id string, file_seq int, file_name string, line_no int, raw string, record string, field string"
 
@@ -78,3 +79,11 @@ def test_same_for_any_number_of_partitions(spark, sf):
         assert found(df.repartition(7)) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_records_query_gives_whole_records(spark, sf):
+    raw = spark.read.parquet(f"{sf}/raw_records.parquet")
+    got, want = drift_queries.p1_records(spark, sf), drift.unify(raw)
+    assert got.columns == want.columns and {"messages", "record_json"} <= set(got.columns)
+    rows = got.where("messages_kind = 'array'").collect()
+    assert any(r.messages and r.messages[0].content for r in rows) and all(json.loads(r.record_json) for r in rows)

@@ -17,8 +17,7 @@ def p1_union_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
-    columns = "file_id", "line_no", "instance_id", "messages_kind", "resolved", "resolved_kind", "exit_status", "exit_status_kind"
-    return drift.unify(table(spark, sf, "raw_records")).selectExpr(*columns, "size(messages) AS n_messages")
+    return drift.unify(table(spark, sf, "raw_records"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_union_schema": p1_union_schema, "p1_records": p1_records}
