@@ -33,6 +33,13 @@ def test_components(spark, task_links):
     assert got == roots([(a, b) for a, b in links if a != b])
 
 
+def test_components_of_a_node_with_two_parents(spark):
+    links = [(5, 1), (4, 3), (3, 2), (5, 4)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(links, 4), "a bigint, b bigint")
+    got = sorted(tuple(r) for r in C.components(df, "a", "b", task_links=1).collect())
+    assert got == [(n, 1) for n in (1, 2, 3, 4, 5)]
+
+
 def test_components_of_texts_and_of_nothing(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "p string, q string")
     assert {r.node: r.root for r in C.components(df, "p", "q").collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}

@@ -71,7 +71,9 @@ def components(links: DataFrame, a: str, b: str, task_links: int = TASK_LINKS) -
     forest = cut(_local(pairs))
     while (n := forest.count()) > task_links:
         merged = cut(_star(_star(forest, small=False), small=True))
+        # Stars are reached when no parent is a child and no child has two parents.
         mixed = merged.select("b").distinct().join(merged.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        mixed = mixed or merged.groupBy("a").count().where("count > 1").limit(1).count()
         forest = merged
         if not mixed:
             return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(forest.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
