@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trailmill.llm import mixing as M, packing as P, tokens
+from trailmill.llm import mixing as M, packing as P, queries as Q, tokens
 
 
 def test_fill_is_optimal():
@@ -101,3 +102,19 @@ def test_mix(spark):
     assert abs(exact["a"].share / exact["c"].share - 0.5 / 0.15) < 0.6 and exact["c"].most_uses == 2
     empty = M.mix(df.limit(0), targets)
     assert empty[0].count() == 0 and all(r.share == 0 for r in empty[1].collect())
+
+
+def test_rows_of_the_exact_mix_reach_the_targets(spark, sf):
+    rows = Q.QUERIES["p7_exact_mix"](spark, sf).groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("n"), F.max("use_no").alias("last")).collect()
+    report = {r.source: r for r in Q.QUERIES["p7_exact"](spark, sf).collect()}
+    assert {r.source: (r.n, r.last + 1) for r in rows} == {s: (r.used_tokens, r.most_uses) for s, r in report.items() if r.used_tokens}
+    total, slack = sum(r.n for r in rows), 2 * M.BLOCK
+    assert total and all(abs(r.used_tokens - r.target_share * total) <= slack for r in report.values())
+
+
+def test_exact_mix_does_without_a_source_that_has_nothing(spark):
+    df = documents(spark, [("word " * 60, s) for s, n in (("a", 60), ("b", 20)) for _ in range(n)])
+    targets = spark.createDataFrame([("a", 0.45, 3), ("b", 0.45, 1), ("none", 0.1, 9)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in M.mix(df, targets, block=16, shard=32, exact=True)[1].collect()}
+    assert report["none"].used_tokens == 0 and report["none"].short
+    assert report["b"].used_tokens == report["b"].tokens and abs(report["a"].share - 0.5) < 0.02

@@ -8,7 +8,8 @@ pseudorandom permutation of the indexes, so a block comes again only after all o
 `max_repeats` times. Blocks are joined by index.
 
 A source too small for its share gives what it may; the others keep their number of slots, and the report has the
-shares reached. With `exact` the mix is made as small as it takes for every source to reach its share.
+shares reached. With `exact` the mix is made as small as it takes for every source to reach its share; a source that may
+give nothing can't reach one in any mix but the empty one, so it is left out and the others keep their proportions.
 
 Defined cases: null and empty texts and documents of other or null sources have no part; a target source without
 documents is reported with 0; the last block of a source may be shorter; repeated texts are texts; empty tables give an
@@ -107,7 +108,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
     n_blocks = -(-have // block)
     wanted = np.array([round((g.share or 0) * total / block) for g in goals], np.int64)
     if exact and total:
-        room = [n * block * (g.repeats or 0) / g.share for g, n in zip(goals, n_blocks) if (g.share or 0) > 0]
+        room = [n * block * g.repeats / g.share for g, n in zip(goals, n_blocks) if (g.share or 0) > 0 and n * (g.repeats or 0) > 0]
         wanted = np.array([int((g.share or 0) * min(total, *room) / block) for g in goals], np.int64)
     slots = np.minimum(wanted, n_blocks * np.array([g.repeats or 0 for g in goals], np.int64))
     shards = -(-int(slots.sum()) // shard)

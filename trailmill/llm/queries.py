@@ -79,6 +79,10 @@ def p7_exact(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), exact=True)[1]
 
 
+def p7_exact_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), exact=True)[0]
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_report(spark, sf).where("short AND used_tokens <= tokens * max_repeats").select("source")
 
@@ -101,7 +105,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_report": p6_report,
-    "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact,
+    "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact, "p7_exact_mix": p7_exact_mix,
     "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments,
 }
 
