@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -78,6 +79,23 @@ def test_shard_counts_add_up():
     assert counts.sum() == 1_000_000_000 and (counts + before == big).all()
 
 
+def test_counts_of_very_many_slots_are_drawn():
+    totals, n = np.array([3_000_000_000, 999_999_000, 1_000]), 4_000_000_000
+    drawn = np.array([M.shard_counts(totals, 4, 0, n // 4, seed)[0] for seed in range(1500)])
+    mean, var = totals / 4, totals * (n - totals) / n * (3 / 16)
+    assert (drawn.sum(1) == n // 4).all() and (abs(drawn.mean(0) - mean) < 5 * np.sqrt(var / 1500)).all()
+    assert (abs(drawn.var(0) / var - 1) < 0.2).all()
+
+
+def test_large_draws_are_hypergeometric():
+    rng = np.random.default_rng(3)
+    for good, bad, drawn in ((6, 9, 7), (40, 25, 50), (3, 5000, 2500), (700, 800, 600)):
+        pmf = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+        got = np.bincount([M._large(good, bad, drawn, rng) for _ in range(20_000)], minlength=good + 1)
+        assert all(abs(got[k] - 20_000 * p) < 5 * math.sqrt(20_000 * p * (1 - p)) + 1 for k, p in pmf.items()) and sum(got[k] for k in pmf) == 20_000
+    assert M._large(0, 10, 4, rng) == 0 and M._large(10, 0, 4, rng) == 4 and M._large(10, 10, 20, rng) == 10
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [("word " * rng.randrange(1, 80), s) for s, n in (("a", 300), ("b", 60), ("c", 5)) for _ in range(n)] + [("word " * 90, None), (None, "a"), ("", "b"), ("word", "z")]

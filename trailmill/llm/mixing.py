@@ -18,6 +18,7 @@ empty mix; further columns are ignored. Targets are a fixed table of a few rows,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +32,65 @@ from .tokens import VOCABULARY, count_column
 BLOCK = 512
 SHARD = 1024
 _U = np.uint64
-#: Above this many slots numpy draws no hypergeometric; there counts are split in proportion.
+#: From this many slots on numpy draws no hypergeometric; there `_large` does.
 _DRAWS = 900_000_000
 
 
+def _stirling_error(n: float) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, k = (x - mean) * v, 2 * x * v, 1
+    while abs(term := term * v * v) > 1e-17 * abs(total):
+        k += 2
+        total += term / k
+    return total
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """log of the binomial probability by the saddle point expansion, whose terms stay small near the mean."""
+    if x in (0, n):
+        return n * math.log1p(-p) if x == 0 else n * math.log(p)
+    size = 0.5 * (math.log(n) - math.log(x) - math.log(n - x) - math.log(2 * math.pi))
+    return size + _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+
+
+def _large(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """A hypergeometric draw for counts of any size: rejection from a table mountain hat (Stadlober's HRUA)."""
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    total, p = good + bad, drawn / (good + bad)
+    log_f = lambda k: _log_binomial(k, good, p) + _log_binomial(drawn - k, bad, p)
+    centre = drawn * (good / total) + 0.5
+    width = math.sqrt((total - drawn) / (total - 1) * drawn * (good / total) * (bad / total) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+    top = log_f(min(max((drawn + 1) * (good + 1) // (total + 2), low), high))
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(centre + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log_f(k) - top:
+            return k
+
+
 def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
     total = int(counts.sum())
     if total < _DRAWS:
         return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    share = counts * (left / total)
-    out = np.floor(share).astype(np.int64)
-    order = np.argsort(out - share, kind="stable")
-    out[order[: left - int(out.sum())]] += 1
-    return np.minimum(out, counts)
+    out = np.zeros_like(counts)
+    for i, n in enumerate(counts.tolist()):
+        total -= n
+        out[i] = _large(n, total, left, rng)
+        left -= int(out[i])
+    return out
 
 
 def shard_counts(totals: np.ndarray, shards: int, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
