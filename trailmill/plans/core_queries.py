@@ -659,3 +659,35 @@ def metric_selection(spark, sf):
 @query("SELECT 4::BIGINT AS n, 0.25::DOUBLE AS pass_at_1, 0.375::DOUBLE AS mean_reward, 0.75::DOUBLE AS has_code_rate")
 def code_metrics(spark, sf):
     return metrics.code_metrics(spark.sql("SELECT * FROM VALUES (2, 2, true, true), (1, 2, false, true), (0, 3, false, true), (0, 0, false, false) AS t(passed, total, pass_all, has_code)"))
+
+
+_STATUS = "coalesce(nullif(lower(exit_status), ''), 'none')"
+_KEY = "CASE s WHEN 'submitted' THEN 'pass@1{0},submitted' WHEN 'none' THEN 'acc{0},none' ELSE concat('pass_at_1{0},', s) END"
+
+
+@query(
+    f"""WITH g AS (SELECT instance_id AS task, {_STATUS} AS s, avg(coalesce(reward >= 1, false)::INT) AS v, count(*) AS n FROM rollouts WHERE instance_id IS NOT NULL GROUP BY ALL),
+        k AS (SELECT *, 2 * row_number() OVER (PARTITION BY task ORDER BY s) AS position FROM g),
+        e AS (SELECT task, {_KEY.format('')} AS key, v AS value, position FROM k UNION ALL SELECT task, {_KEY.format('_stderr')}, sqrt(v * (1 - v) / n), position + 1 FROM k WHERE n > 1),
+        p AS (SELECT *, CASE WHEN starts_with(key, 'pass@1,') THEN 0 WHEN starts_with(key, 'pass@1') THEN 1 WHEN starts_with(key, 'pass_at_1,') THEN 2 WHEN starts_with(key, 'pass_at_1') THEN 3 END AS p FROM e),
+        b AS (SELECT task, arg_min(key, (p, position)) AS key, arg_min(value, (p, position)) AS value FROM p WHERE p IS NOT NULL GROUP BY 1)
+        SELECT b.task, round(b.value, 6) AS value, round(e.value, 6) AS stderr FROM b LEFT JOIN e ON e.task = b.task AND e.key = replace(replace(b.key, 'pass@1', 'pass@1_stderr'), 'pass_at_1', 'pass_at_1_stderr')"""
+)
+def metric_selection_rollouts(spark, sf):
+    rows = _rollouts(spark, sf).where("instance_id IS NOT NULL").groupBy(F.col("instance_id").alias("task"), F.expr(_STATUS).alias("s"))
+    g = rows.agg(F.avg(F.coalesce(F.col("reward") >= 1, F.lit(False)).cast("int")).alias("v"), F.count("*").alias("n")).withColumn("position", 2 * F.row_number().over(Window.partitionBy("task").orderBy("s")))
+    values = g.selectExpr("task", f"{_KEY.format('')} AS key", "v AS value", "position")
+    errors = g.where("n > 1").selectExpr("task", f"{_KEY.format('_stderr')} AS key", "sqrt(v * (1 - v) / n) AS value", "position + 1 AS position")
+    return metrics.pass_at_1(values.unionByName(errors)).select("task", F.round("value", 6).alias("value"), F.round("stderr", 6).alias("stderr"))
+
+
+@query(
+    """WITH r AS (SELECT instance_id, coalesce(lower(exit_status) = 'submitted', false) AS done, coalesce(reward >= 1, false) AS good, NOT regexp_matches(coalesce(patch, ''), '^\\s*$') AS code FROM rollouts),
+        s AS (SELECT count_if(done AND good) AS passed, count_if(done) AS total, bool_or(code) AS has_code FROM r GROUP BY instance_id)
+        SELECT count(*) AS n, round(avg((total > 0 AND passed = total)::INT), 6) AS pass_at_1, round(avg(CASE WHEN total > 0 THEN passed / total ELSE 0 END), 6) AS mean_reward, round(avg(has_code::INT), 6) AS has_code_rate FROM s"""
+)
+def code_metrics_rollouts(spark, sf):
+    done, good = F.coalesce(F.lower("exit_status") == "submitted", F.lit(False)), F.coalesce(F.col("reward") >= 1, F.lit(False))
+    samples = _rollouts(spark, sf).groupBy("instance_id").agg(F.count_if(done & good).alias("passed"), F.count_if(done).alias("total"), F.bool_or(~X.is_blank(F.col("patch"))).alias("has_code"))
+    rates = metrics.code_metrics(samples.withColumn("pass_all", F.expr("total > 0 AND passed = total")))
+    return rates.select("n", *(F.round(c, 6).alias(c) for c in ("pass_at_1", "mean_reward", "has_code_rate")))
