@@ -1,4 +1,6 @@
 import json
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -77,3 +79,20 @@ def test_cache(spark, tmp_path):
     (folder / "manifest.json").write_text("{bad")
     assert cache.decide(spark, path, settings) == "not_ready"
     assert cache.input_state(spark, [base])[0]["size"] > 0
+
+
+def test_cache_has_one_builder_and_others_wait(spark, tmp_path):
+    base, settings = f"file://{tmp_path}/shared", {"inputs": [], "policy": "keep"}
+
+    def never():
+        raise AssertionError("only the builder builds")
+
+    with pytest.raises(TimeoutError):
+        cache.cached(spark, base, settings, never, builder=False, timeout_s=0.2, poll_s=0.05)
+    with ThreadPoolExecutor(1) as pool:
+        other = pool.submit(cache.cached, spark, base, settings, never, builder=False, timeout_s=60, poll_s=0.1)
+        time.sleep(0.5)
+        assert not other.done()
+        cache.cached(spark, base, settings, lambda: spark.range(3))
+        df, why = other.result(60)
+    assert df.count() == 3 and why == "not_ready"

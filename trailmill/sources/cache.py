@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 VERSION = 1
+#: Seconds that callers wait for the builder, and between two looks.
+WAIT_S, POLL_S = 7_200.0, 2.0
 #: The settings that have to agree.
 KEYS = ("version", "inputs", "tokenizer", "max_length", "max_rows", "policy", "context_limit")
 
@@ -85,13 +88,25 @@ def publish(df: DataFrame, path: str, settings: dict[str, Any], stats: dict[str,
     return manifest
 
 
-def cached(spark: SparkSession, base: str, settings: dict[str, Any], build: Callable[[], DataFrame], force: bool = False, enabled: bool = True) -> tuple[DataFrame, str]:
-    """The materialised result of `build` for these settings, and why it was built or used."""
+def wait(spark: SparkSession, path: str, settings: dict[str, Any], timeout_s: float = WAIT_S, poll_s: float = POLL_S) -> None:
+    """Until another caller has published the result for these settings."""
+    deadline = time.monotonic() + timeout_s
+    while not (is_ready(spark, path) and matches(read_manifest(spark, path), settings)):
+        if time.monotonic() >= deadline:
+            raise TimeoutError(f"no result in {path} after {timeout_s:g} s")
+        time.sleep(poll_s)
+
+
+def cached(spark: SparkSession, base: str, settings: dict[str, Any], build: Callable[[], DataFrame], force: bool = False, enabled: bool = True, builder: bool = True, timeout_s: float = WAIT_S, poll_s: float = POLL_S) -> tuple[DataFrame, str]:
+    """The materialised result of `build` for these settings, and why it was built or used. Of callers that share a
+    folder one is the builder; the others never write there but wait for it."""
     settings = {"version": VERSION} | settings
     path = location(base, settings)
     why = decide(spark, path, settings, force, enabled)
     if why == "disabled":
         return build(), why
-    if why != "hit":
+    if why != "hit" and builder:
         publish(build(), path, settings)
+    elif why != "hit":
+        wait(spark, path, settings, timeout_s, poll_s)
     return spark.read.parquet(f"{path}/data"), why
