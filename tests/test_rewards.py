@@ -3,6 +3,7 @@ from conftest import MESSAGES, msg
 from pyspark.sql import functions as F
 
 from trailmill.operators import rewards as R
+from trailmill.operators.sandbox import run_tests
 
 
 def test_format_reward(spark):
@@ -24,6 +25,16 @@ def test_execution(spark):
         R.execution_reward(df, "row_id", "text", "tests", "imports")
 
 
+def test_scores_cannot_be_forged():
+    add = "def add(a, b):\n    return a + b\n"
+    tests = ["assert add(1, 2) == 3", "assert add(1, 2) == 4", "assert add(2, 2) == 4"]
+    assert run_tests(add, [], tests) == 2 and run_tests(add, [], []) == 0
+    for forged in ("print('3 3')\nraise SystemExit(0)", "import sys\nsys.stdout.write('3 3')\nsys.exit(0)", "import os\nos._exit(0)", "import os\nos.write(3, b'0\\n1\\n2\\nend\\n')\nos._exit(0)", "print('3 3')\n" + add, "while True: pass", "x = '\ud800'", "import os\nfor i in range(3, 20):\n    try: os.write(i, b'x' * 10**6)\n    except OSError: pass"):
+        assert run_tests(forged, [], tests) == 0, forged
+    assert run_tests(add, ["import math"], ["assert math.pi > 3", "raise SystemExit(0)", "assert True"]) == 0  # an exit ends the run
+    assert run_tests("seen = []", [], ["seen.append(1)", "assert seen == [1]", "assert False"] + ["assert True"] * 40) == 42
+
+
 def test_resolve_reward(spark):
     diff = "diff --git"
     rows = [(1, diff + "x" * 31, 0), (2, diff + "x" * 30, 0), (3, "  " + diff + "x" * 30, 10), (4, " \n", 3), (5, None, None), (6, diff + "x" * 40, 200), (7, "no" * 40, None), (8, diff + "x" * 40, None)]

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ast
-import subprocess
-import sys
-import textwrap
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import messages as M
 from ..functions.text import extract_code, is_blank, is_safe_code, trim_ws
 from ..session import map_pandas, ship
+from .sandbox import run_tests
 
 
 def _parses(code: str | None) -> bool:
@@ -30,7 +28,8 @@ def parses(df: DataFrame, code: str, name: str = "parses") -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def check(s: pd.Series) -> pd.Series:
-        return s.map(_parses).astype(bool)
+        known = {code: _parses(code) for code in s.unique()}  # repeated texts are parsed once a batch
+        return s.map(known).astype(bool)
 
     return df.withColumn(name, check(F.col(code)))
 
@@ -42,45 +41,6 @@ def format_reward(df: DataFrame, completion: str, name: str = "format_reward") -
     return checked.withColumn(name, F.when(F.col("_ok") & F.coalesce(is_safe_code(F.col("_code")), F.lit(False)), 1.0).otherwise(0.0)).drop("_code", "_ok")
 
 
-_HARNESS = """
-import sys
-{imports}
-
-{code}
-
-_tests = [
-{tests}
-]
-_passed = 0
-for _t in _tests:
-    try:
-        exec(_t, globals())
-        _passed += 1
-    except Exception:
-        pass
-print(_passed, len(_tests))
-"""
-
-
-def _limits() -> None:
-    import resource
-
-    resource.setrlimit(resource.RLIMIT_CPU, (30, 30))
-    resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
-    resource.setrlimit(resource.RLIMIT_FSIZE, (0, 0))
-
-
-def run_tests(code: str, imports: list[str], tests: list[str]) -> int:
-    """How many tests pass in a process of its own; 0 on a crash, a timeout, or if the code prints anything."""
-    script = _HARNESS.format(imports="\n".join(imports), code=code, tests=textwrap.indent(",\n".join(map(repr, tests)), "    "))
-    try:
-        done = subprocess.run([sys.executable, "-I", "-c", script], capture_output=True, text=True, timeout=max(5, 2 * len(tests)), preexec_fn=_limits, env={})
-    except (subprocess.TimeoutExpired, OSError, ValueError):
-        return 0
-    words = done.stdout.split()
-    return int(words[0]) if done.returncode == 0 and len(words) == 2 and words[0].isdigit() else 0
-
-
 def execution_reward(df: DataFrame, key: str, completion: str, tests: str, imports: str, allow: bool = False, check_safety: bool = True) -> DataFrame:
     """(key, passed, total, pass_all, has_code, execution_reward). Runs generated code, so it has to be allowed
     explicitly; each distinct (code, imports, tests) runs once. With `check_safety` code with a banned text scores 0."""
