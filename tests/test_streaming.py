@@ -21,6 +21,20 @@ def test_correlation_equals_batch_and_reports_timeouts(spark, tmp_path):
     assert got == {"a": 1, "b": None, "c": None}
 
 
+def test_correlation_takes_the_last_valid_result(spark, tmp_path):
+    jobs = spark.sql("SELECT job_id, 'p' AS payload, cast(created_at AS timestamp) AS created_at FROM VALUES ('a', '2025-01-01 00:10:00'), ('b', '2025-01-01 00:10:00'), ('c', '2025-01-01 00:10:00'), ('a', '2025-01-01 00:10:00') t(job_id, created_at)")
+    results = spark.sql("""SELECT job_id, reward, cast(NULL AS string) AS error, cast(result_at AS timestamp) AS result_at FROM VALUES
+        ('a', 9, '2025-01-01 00:05:00'), ('a', 1, '2025-01-01 00:13:00'), ('a', 2, '2025-01-01 00:20:00'), ('a', 8, '2025-01-01 05:00:00'),
+        ('b', 9, '2025-01-01 00:09:59'), ('b', 8, '2025-01-01 03:00:00'), ('c', 3, '2025-01-01 00:30:00'), ('c', 4, '2025-01-01 00:30:00'), (NULL, 7, '2025-01-01 00:30:00') t(job_id, reward, result_at)""")
+    flush_j = spark.sql("SELECT 'z' AS job_id, 'p' AS payload, cast('2025-01-03 00:00:00' AS timestamp) AS created_at")
+    flush_r = spark.sql("SELECT 'y' AS job_id, 0 AS reward, cast(NULL AS string) AS error, cast('2025-01-03 00:00:00' AS timestamp) AS result_at")
+    for df, name in ((jobs, "j"), (flush_j, "j"), (results, "r"), (flush_r, "r")):
+        df.coalesce(1).write.mode("append").json(str(tmp_path / name))
+    got = run(Q.correlate(Q.jobs(spark, str(tmp_path / "j"), 10), Q.results(spark, str(tmp_path / "r"))), "last_valid").collect()
+    assert sorted((r.job_id, r.reward) for r in got) == [("a", 2), ("b", None), ("c", 4)]
+    assert {r.job_id: str(r.result_at) for r in got}["a"] == "2025-01-01 00:20:00"
+
+
 def test_queue_round_trip(spark, tmp_path):
     Q.enqueue(spark.createDataFrame([("p1",), ("p2",)], "payload string"), str(tmp_path / "jobs"))
     runner = lambda b: b.select("job_id", F.length("payload").cast("int").alias("reward"), F.lit(None).cast("string").alias("error"), F.col("created_at").alias("result_at"))

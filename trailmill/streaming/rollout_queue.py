@@ -1,7 +1,8 @@
 """The rollout queue as files and streams: jobs in one folder, results in another.
 
-Delivery is at least once; results are matched by job id and the first within the deadline counts. A job without one is
-reported with null results once the watermark has passed its deadline.
+Delivery is at least once. Of the results of a job that come at or after its creation and within the deadline the last
+counts (ties by the greater reward, then error), whatever came before or after them; every job comes out exactly once,
+when the watermark has passed its deadline, with null results if none counted. Results of unknown jobs are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,19 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def correlate(job_stream: DataFrame, result_stream: DataFrame, deadline: str = "2 hours", lateness: str = "10 minutes") -> DataFrame:
-    """(job_id, created_at, reward, error, result_at): left outer join within the deadline; watermarks on both sides
-    bound the state, and results delivered again are dropped."""
-    left = job_stream.withWatermark("created_at", lateness).alias("j")
-    right = result_stream.withWatermark("result_at", lateness).dropDuplicatesWithinWatermark(["job_id"]).alias("r")
+    """(job_id, created_at, reward, error, result_at): one row for each job.
+
+    A left outer join within the deadline, then the last of each job's results; the watermarks of both sides bound the
+    state of the join and of the aggregate. Conditions come before the choice, so a result that does not count never
+    hides one that does.
+    """
+    left = job_stream.select("job_id", "created_at").withWatermark("created_at", lateness).alias("j")
+    # The time that is returned is a copy: the aggregate below may see one event time only.
+    right = result_stream.withColumn("seen_at", F.expr("result_at + INTERVAL '0' SECOND")).withWatermark("result_at", lateness).alias("r")
     on = F.expr(f"j.job_id = r.job_id AND r.result_at >= j.created_at AND r.result_at <= j.created_at + INTERVAL {deadline}")
-    return left.join(right, on, "left_outer").select("j.job_id", "j.created_at", "r.reward", "r.error", "r.result_at")
+    joined = left.join(right, on, "left_outer").select("j.job_id", "j.created_at", "r.reward", "r.error", "r.seen_at")
+    last = F.max_by(F.struct("reward", "error", "seen_at"), F.when(F.col("seen_at").isNotNull(), F.struct("seen_at", "reward", "error")))
+    return joined.groupBy("job_id", "created_at").agg(last.alias("r")).select("job_id", "created_at", "r.reward", "r.error", F.col("r.seen_at").alias("result_at"))
 
 
 def work(job_stream: DataFrame, runner: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
