@@ -1,4 +1,5 @@
 import json
+import os
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -96,3 +97,39 @@ def test_cache_has_one_builder_and_others_wait(spark, tmp_path):
         cache.cached(spark, base, settings, lambda: spark.range(3))
         df, why = other.result(60)
     assert df.count() == 3 and why == "not_ready"
+
+
+def test_two_builders_at_once_build_once(spark, tmp_path):
+    base, settings, calls = f"file://{tmp_path}/both", {"inputs": [], "policy": "keep"}, []
+
+    def build():
+        calls.append(1)
+        time.sleep(1.0)
+        return spark.range(4)
+
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(cache.cached, spark, base, settings, build, timeout_s=120, poll_s=0.1) for _ in range(3)]
+        assert [f.result(120)[0].count() for f in done] == [4, 4, 4]
+    assert len(calls) == 1
+
+
+def test_a_rebuild_leaves_readers_their_data(spark, tmp_path):
+    base, settings = f"file://{tmp_path}/again", {"inputs": [], "policy": "keep"}
+    old, _ = cache.cached(spark, base, settings, lambda: spark.range(5))
+
+    def fails():
+        raise ValueError("no rows")
+
+    with pytest.raises(ValueError):
+        cache.cached(spark, base, settings, fails, force=True)
+    assert cache.cached(spark, base, settings, fails)[0].count() == 5  # the lock is free and the old result stands
+    new, why = cache.cached(spark, base, settings, lambda: spark.range(7), force=True)
+    assert (old.count(), new.count(), why) == (5, 7, "forced")
+    for n in (8, 9):
+        cache.cached(spark, base, settings, lambda n=n: spark.range(n), force=True)
+    folder = next((tmp_path / "again").iterdir())
+    assert len(list(folder.glob("data-*"))) == 2 and not (folder / ".builder").exists()
+    (folder / ".builder").touch()
+    assert not cache._claim(spark, str(folder), 60)  # a lock that is not old is respected
+    os.utime(folder / ".builder", (0, 0))
+    assert cache._claim(spark, str(folder), 60)
