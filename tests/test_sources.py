@@ -4,6 +4,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailmill.operators import metrics
 from trailmill.sources import cache, json_files as J
@@ -34,16 +35,34 @@ def test_reports_and_metrics(spark):
     assert sorted(map(tuple, metrics.pass_at_1(J.metric_entries(df)).collect())) == [("t", 0.5, 0.1), ("v", 0.25, None)]
 
 
-def test_paths(tmp_path):
+def test_paths(spark, tmp_path):
     for n in ("results_1.json", "results_2.json", "samples_a_2.jsonl", "samples_b_1.jsonl"):
         (tmp_path / n).write_text("{}")
-    latest = J.latest_results(str(tmp_path))
-    assert latest.endswith("results_2.json") and [p[-17:] for p in J.sample_files(latest)] == ["samples_a_2.jsonl"]
-    assert len(J.sample_files(str(tmp_path / "results_9.json"))) == 2 and J.latest_results(str(tmp_path / "none")) is None
-    assert J.first_existing(str(tmp_path / "no"), latest) == latest
-    assert J.verifier_inputs("no", str(tmp_path), "buffer*.jsonl", "f") == ["f"] and len(J.verifier_inputs(latest, str(tmp_path), "samples_*", "f")) == 3
+    latest = J.latest_results(spark, str(tmp_path))
+    assert latest.endswith("results_2.json") and [p[-17:] for p in J.sample_files(spark, latest)] == ["samples_a_2.jsonl"]
+    assert len(J.sample_files(spark, str(tmp_path / "results_9.json"))) == 2 and J.latest_results(spark, str(tmp_path / "none")) is None
+    assert J.first_existing(spark, str(tmp_path / "no"), latest) == latest
+    assert J.verifier_inputs(spark, "no", str(tmp_path), "buffer*.jsonl", "f") == ["f"] and len(J.verifier_inputs(spark, latest, str(tmp_path), "samples_*", "f")) == 3
     with pytest.raises(FileNotFoundError):
-        J.first_existing(str(tmp_path / "no"))
+        J.first_existing(spark, str(tmp_path / "no"))
+
+
+def test_prediction_maps(spark):
+    rows = [(f'i"{k}\n', f"diff {k}" if k else None, k / 2) for k in range(7)] + [(None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "instance_id string, patch string, score double")
+    one = J.prediction_maps(df, "m").collect()
+    assert len(one) == 1 and {k: v.get("model_patch") for k, v in json.loads(one[0].value).items()} == {r[0]: r[1] for r in rows[:-1]}
+    many = J.prediction_maps(df, "m", 2).collect()
+    assert len(many) > 1 and sorted(k for r in many for k in json.loads(r.value)) == sorted(r[0] for r in rows[:-1])
+    assert J.prediction_maps(df.limit(0), "m").count() == 0
+
+
+def test_records_with_reports(spark, tmp_path):
+    for folder, name, docs in (("r", "a.jsonl", [{"instance_id": "x"}, {"id": "y", "resolved": True}, {"id": "z"}]), ("e", "report.json", [{"x": {"resolved": True}, "z": {"resolved": False}, "q": 3}])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_text("\n".join(map(json.dumps, docs)))
+    flag = F.expr("try_variant_get(record, '$.resolved', 'boolean')")
+    assert sorted(r.instance_id for r in J.read_with_resolved(spark, str(tmp_path / "r"), str(tmp_path / "e"), flag).collect()) == ["x", "y"]
 
 
 def test_sinks(spark, tmp_path):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import joins, metrics, rewards
 from .plans import pipelines
-from .session import local_session
+from .session import clean, local_session
 from .sources import cache, json_files
 
 
@@ -110,20 +111,33 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         best = metrics.best_of_n(rollouts, a.k)
         json_files.prediction_lines(best, a.model).select("value").write.mode("overwrite").text(a.output)
         return {"predictions": best.count()}
-    latest = json_files.latest_results(a.results_dir)
+    latest = json_files.latest_results(spark, a.results_dir)
     if latest is None:
         return {"metrics": []}
     record = spark.read.text(latest, wholetext=True).selectExpr("parse_json(value) AS record")
-    out = {"results": latest, "samples": json_files.sample_files(latest), "metrics": [r.asDict() for r in metrics.pass_at_1(json_files.metric_entries(record)).orderBy("task").collect()]}
+    out = {"results": latest, "samples": json_files.sample_files(spark, latest), "metrics": [r.asDict() for r in metrics.pass_at_1(json_files.metric_entries(record)).orderBy("task").collect()]}
     if a.output:
         json_files.write_document(out, a.output)
     return out
 
 
+def session() -> tuple[SparkSession, bool]:
+    """The session to use, and whether it is ours to clean: an active one, that of spark-submit, or a local one."""
+    if active := SparkSession.getActiveSession():
+        return active, False
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit, whose master holds
+        return SparkSession.builder.getOrCreate(), True
+    return local_session(), True
+
+
 def main(argv: list[str] | None = None) -> dict:
     a = parser().parse_args(argv)
-    spark = SparkSession.getActiveSession() or local_session()
-    result = run(spark, a)
+    spark, own = session()
+    try:
+        result = run(spark, a)
+    finally:
+        if own:
+            clean(spark)
     print(json.dumps(result, default=str))
     return result
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,7 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
@@ -73,10 +75,15 @@ def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
 
 
 _OWN: list[str] = []
+_SCRATCH: list[str] = []
 
 
-def _own_folder() -> str:
-    """A folder of this process for sessions that name none, that is, local ones; it goes with the process."""
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this process for local sessions that name none; it goes with the process. Executors elsewhere could
+    not read it, so other sessions have to name one."""
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     if not _OWN:
         folder = tempfile.mkdtemp(prefix="trailmill-checkpoints-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -86,10 +93,10 @@ def _own_folder() -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share: the one the session names in
-    ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is made."""
+    ``spark.checkpoint.dir``; only where a local session sets none a temporary one is made."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    named = named or sc.getCheckpointDir() or _own_folder()
+    named = named or sc.getCheckpointDir() or _own_folder(spark)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -103,4 +110,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table that several jobs read."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the checkpoints and scratch tables of this session from the shared folder; results that were read from
+    them can't be read any more. Sessions with ``spark.cleaner.referenceTracking.cleanCheckpoints`` also drop a
+    checkpoint when nothing refers to it any longer."""
+    sc = spark.sparkContext
+    for path in [*_SCRATCH, *filter(None, [sc.getCheckpointDir()])]:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _SCRATCH.clear()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import os
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import trim_ws
+from ..operators import predicates as P
 
 
 def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -67,31 +69,53 @@ def read_table(spark: SparkSession, registry: dict[str, str], name: str, split:
         return spark.read.parquet(f"{path}/{split}.parquet")
 
 
-def first_existing(*paths: str) -> str:
-    """The preferred of several local inputs."""
+def _status(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match, in order, on whatever file system the pattern names."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
+def _below(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The files whose names match at any depth below a folder; only names are listed."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    files, out = fs.listFiles(at, True), []
+    while files.hasNext():
+        path = files.next().getPath()
+        if fnmatch.fnmatchcase(path.getName(), pattern):
+            out.append(path.toString())
+    return sorted(out)
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The preferred of several inputs."""
     for p in paths:
-        if Path(p).exists():
+        if _status(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
-def verifier_inputs(positives: str, folder: str, pattern: str, fallback: str) -> list[str]:
+def verifier_inputs(spark: SparkSession, positives: str, folder: str, pattern: str, fallback: str) -> list[str]:
     """The file of positives, if there is one, and every buffer of the folder; without any, the fallback."""
-    found = [positives] if Path(positives).exists() else []
-    found += sorted(map(str, Path(folder).glob(pattern)))
-    return found or [fallback]
+    found = [positives] if _status(spark, positives) else []
+    return [*found, *_status(spark, f"{folder.rstrip('/')}/{pattern}")] or [fallback]
 
 
-def latest_results(folder: str, pattern: str = "results_*.json") -> str | None:
+def latest_results(spark: SparkSession, folder: str, pattern: str = "results_*.json") -> str | None:
     """The last such file in the order of paths."""
-    return max(map(str, Path(folder).rglob(pattern)), default=None)
+    return max(_below(spark, folder, pattern), default=None)
 
 
-def sample_files(results: str) -> list[str]:
+def sample_files(spark: SparkSession, results: str) -> list[str]:
     """The sample files with the stamp of a results file, else all beside it."""
-    p = Path(results)
-    stamp = p.stem.removeprefix("results_")
-    return sorted(map(str, p.parent.glob(f"samples_*_{stamp}.jsonl"))) or sorted(map(str, p.parent.glob("samples_*.jsonl")))
+    folder, _, name = results.rpartition("/")
+    stamp = name.removesuffix(".json").removeprefix("results_")
+    return _status(spark, f"{folder}/samples_*_{stamp}.jsonl") or _status(spark, f"{folder}/samples_*.jsonl")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -114,6 +138,24 @@ def prediction_lines(predictions: DataFrame, model: str) -> DataFrame:
     return predictions.where("instance_id IS NOT NULL").select("instance_id", F.to_json(body).alias("value"))
 
 
+def prediction_maps(predictions: DataFrame, model: str, per_file: int = 50_000) -> DataFrame:
+    """(file_no, value): predictions as JSON maps keyed by id, each of about `per_file` entries and a document of its own;
+    up to that many predictions make one map. Write them with `partitionBy("file_no")` or, if it is one, as text."""
+    lines = prediction_lines(predictions, model)
+    # A hash of the id says which map; their number follows from the rows, so no map grows with the data.
+    files = F.greatest(F.ceil(lines.agg(F.count("*")).scalar() / F.lit(per_file)), F.lit(1))
+    parts = lines.groupBy(F.pmod(F.xxhash64("instance_id"), files).cast("int").alias("file_no")).agg(F.array_sort(F.collect_list(F.struct("instance_id", "value"))).alias("e"))
+    entry = lambda x: F.concat(F.regexp_extract(F.to_json(F.struct(x["instance_id"].alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1), F.lit(": "), x["value"])
+    return parts.select("file_no", F.concat(F.lit("{"), F.array_join(F.transform("e", entry), ", "), F.lit("}")).alias("value"))
+
+
+def read_with_resolved(spark: SparkSession, records: str, reports: str, predicate: Column) -> DataFrame:
+    """Records below a directory whose id the reports below another call resolved, or that meet the predicate; without
+    any resolved id the predicate alone decides. Adds `instance_id`."""
+    rows = P.with_instance_id(read_directory(spark, records))
+    return P.resolved_or_listed(rows, resolved_ids(read_directory(spark, reports)), F.coalesce(predicate, F.lit(False)))
+
+
 def write_trajectories(df: DataFrame, path: str) -> None:
     """Trajectories in folders by step and phase."""
     df.write.mode("append").partitionBy("step", "phase").json(path)
