@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -11,7 +12,7 @@ def check(texts, size, overlap):
     at = 0
     for i, (begin, new, end, _) in enumerate(got):
         assert new == at and begin <= new < end and end - begin <= size
-        assert begin == (max(got[i - 1][0], new - overlap, 0) if i else 0) or begin == max(0, new - overlap)
+        assert begin == (max(got[i - 1][0], new - overlap) if i else 0)
         at = end
     assert at == len(whole)
     return got
@@ -19,7 +20,7 @@ def check(texts, size, overlap):
 
 def test_random_texts():
     rng = random.Random(4)
-    parts = ["word ", "x", "\n", "\n\n", ". ", "。", "long" * 8, " ", "é", "🙂", ",", "!"]
+    parts = ["word ", "x", "\n", "\r\n", "\n## T\n", "\n\n", ". ", "。", "long" * 8, " ", "é", "🙂", ",", "!"]
     for _ in range(300):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(80))) for _ in range(rng.randrange(1, 6))]
         check(texts, rng.choice([20, 50, 120]), rng.choice([0, 5, 19]))
@@ -33,6 +34,19 @@ def test_boundaries_in_order_of_rank():
     assert [p[3] for p in check(["文" * 20 + "。" + "字" * 20], 30, 5)] == ["sentence", "end"]
     assert [p[3] for p in check(["a" * 20 + " " + "b" * 20], 30, 5)] == ["word", "end"]
     assert [p[3] for p in check(["a" * 60], 30, 5)] == ["character", "character", "end"]
+    assert [p[3] for p in check(["a" * 10 + "\n\n" + "b" * 10 + "\n## Title\n" + "c" * 20], 38, 5)] == ["section", "end"]
+    assert [p[3] for p in check(["a" * 10 + "\n\n" + "b" * 10 + "\nTitle\n=====\n" + "c" * 20], 38, 5)] == ["section", "end"]
+
+
+def test_a_piece_goes_back_to_its_best_boundary():
+    prose = "One sentence of prose stands here. " * 145
+    text = prose + "\n\n" + "word " * 6000 + "end"
+    first, second, *_ = check([text], 12_000, 400)
+    assert first[2:] == (len(prose) + 2, "paragraph") and second[3] == "word"
+    # A better boundary in the last half wins over a lesser one that lies farther on; one before that half does not.
+    assert check(["a" * 60 + "\n\n" + "b" * 20 + ". " + "c" * 40], 100, 0)[0][2:] == (62, "paragraph")
+    assert check(["a" * 10 + "\n\n" + "b" * 60 + ". " + "c" * 40], 100, 0)[0][2:] == (74, "sentence")
+    assert check(["a" * 10, "b" * 200], 100, 0)[0][2:] == (10, "message")
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +63,9 @@ def test_rows(spark, limit):
     assert "".join(r.text[r.new_from - r.char_from :] for r in five) == "é\n" * 5000
     assert all(a.text[-10:] == b.text[:10] for a, b in zip(five, five[1:])) and five[0].n_pieces == len(five)
     assert K.split_rows(df.limit(0), limit).count() == 0
+    assert {r.row_id: r.n_chars for r in K.rows_cut(K.split_rows(df, limit), limit).collect()} == {2: 101, 5: 10_000, 6: 10_000, None: 101}
+    proofs = K.rebuilt(K.split_rows(df, limit), limit).collect()
+    assert {r.row_id: r.digest for r in proofs}[5] == hashlib.md5(("é\n" * 5000).encode()).hexdigest() and all(r.fits and r.repeats for r in proofs) and len(proofs) == 4
     with pytest.raises(ValueError):
         K.split_rows(df, limit.limit(0))
     with pytest.raises(ValueError):

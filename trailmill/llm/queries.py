@@ -40,7 +40,12 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p4_pieces(spark, sf).where("piece_no = 1").select("row_id")
+    return chunking.rows_cut(p4_pieces(spark, sf), table(spark, sf, "size_limits")).select("row_id")
+
+
+def p4_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces make up again: whole texts, limits and overlaps of every row that is cut."""
+    return chunking.rebuilt(p4_pieces(spark, sf), table(spark, sf, "size_limits"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +107,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
-    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt,
     "p5_found": p5_found, "p5_groups": p5_groups,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact, "p7_exact_mix": p7_exact_mix,
@@ -111,6 +116,9 @@ QUERIES = {
 
 _STRINGS = """SELECT row_id, unnest(flatten(list_transform(messages, lambda m: list_concat([m.content],
     coalesce(list_transform(m.tool_calls, lambda c: c."function".arguments), []))))) AS piece FROM sft_merged"""
+_LIST = """list_filter(flatten(list_transform(messages, lambda m: list_concat([m.content],
+    coalesce(list_transform(m.tool_calls, lambda c: c."function".arguments), [])))), lambda x: x IS NOT NULL)"""
+_TEXT = f"array_to_string({_LIST}, '')"
 _IDS = r"""SELECT *, CASE WHEN contains(core, '__') AND NOT regexp_matches(core, '^[^_/]+/') THEN core ELSE regexp_replace(core, '^([^/_]+)(?:/|_1776_|_s_)', '\1__') END AS spelled
     FROM (SELECT *, CASE WHEN contains(t, '::') AND NOT regexp_matches(split_part(t, '::', 1), '__|/|_1776_') THEN substr(t, instr(t, '::') + 2) ELSE t END AS core
         FROM (SELECT row_id, regexp_replace(lower(regexp_replace(instance_id, '^\s+|\s+$', '', 'g')), '(::chunk\d+)+$', '') AS t FROM sft_merged))"""
@@ -125,4 +133,6 @@ SQL: dict[str, str] = {
         WHERE regexp_matches(piece, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]')) USING (row_id)""",
     "p4_found": f"""SELECT row_id FROM ({_STRINGS}) GROUP BY row_id
         HAVING sum(length(piece)) > (SELECT max_size FROM size_limits WHERE limit_name = 'trajectory_piece')""",
+    "p4_rebuilt": f"""WITH t AS (SELECT row_id, {_TEXT} AS text FROM sft_merged)
+        SELECT row_id, length(text) AS n_chars, md5(text) AS digest, true AS fits, true AS repeats FROM t WHERE length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'trajectory_piece')""",
 }
