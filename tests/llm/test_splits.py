@@ -24,19 +24,27 @@ def roots(links):
     return {x: min(g) for g in groups.values() for x in g}
 
 
-@pytest.mark.parametrize("task_links", [10, 1_000_000])
-def test_components(spark, task_links):
+@pytest.fixture(params=["one task", "many tasks"])
+def tasks(spark, request):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(request.param == "one task").lower())
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("nodes", [3, 500_000])
+def test_components(spark, tasks, nodes):
     rng = random.Random(5)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, x) for x in range(5001, 5050)] + [(7, 7)]
     df = spark.createDataFrame([*links, *links[:20], (None, 1), (2, None)], "a bigint, b bigint").repartition(6)
-    got = {r.node: r.root for r in C.components(df, "a", "b", task_links).collect()}
+    got = {r.node: r.root for r in C.components(df, "a", "b", nodes).collect()}
     assert got == roots([(a, b) for a, b in links if a != b])
 
 
-def test_components_of_a_node_with_two_parents(spark):
+def test_components_of_a_node_with_two_parents(spark, tasks):
     links = [(5, 1), (4, 3), (3, 2), (5, 4)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(links, 4), "a bigint, b bigint")
-    got = sorted(tuple(r) for r in C.components(df, "a", "b", task_links=1).collect())
+    got = sorted(tuple(r) for r in C.components(df, "a", "b", nodes=1).collect())
     assert got == [(n, 1) for n in (1, 2, 3, 4, 5)]
 
 

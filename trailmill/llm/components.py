@@ -1,9 +1,11 @@
 """Distributed union-find: connected components of a graph given by its links.
 
-Every partition builds a forest of its own links and hands on only (node, root) pairs; forests are merged level by
-level, `FAN_IN` partitions at a time. As long as more than `TASK_LINKS` links remain, one task could not be sure to hold
-them; then rounds of large-star and small-star contraction over the whole cluster take the place of the upper levels.
-Nothing is collected to the driver but counts.
+Every task builds a forest of its own links and hands on only (node, root) pairs, each once; it keeps at most `NODES`
+nodes in mind and hands on the forest it has when there are more. The forests are then merged level by level, by key:
+a level links all trees that meet at a root to the least of its neighbours (large star), and all parents of a node to
+the least of them (small star), each in the task that has the key, until every component is one star. The levels are
+logarithmic in the size of a component, links never multiply, nothing depends on how many there are, and no task sees
+more than its share of the keys. The driver sees whether a level is the last.
 
 Defined cases: links with a null end are ignored, repeated links and links of a node to itself do no harm, no links give
 an empty result. The root is the least node of its component.
@@ -18,38 +20,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, map_pandas
 
-#: Most links that one task of the uppermost level takes. About 200 bytes of Python memory each.
-TASK_LINKS = 1_000_000
-FAN_IN = 16
+#: Nodes of the forest that a task keeps in mind, about 200 bytes each.
+NODES = 500_000
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict = {}
+def _forest(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
 
-    def find(x):
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while x != root:
-            parent[x], x = root, parent.get(x, x)
-        return root
+        def find(x):
+            root = x
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while x != root:
+                parent[x], x = root, parent.get(x, x)
+            return root
 
-    for batch in batches:
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
-            x, y = find(a), find(b)
-            if x != y:
-                low, high = (x, y) if x < y else (y, x)
-                parent[high] = low
-    nodes = list(parent)
-    for at in range(0, len(nodes), 50_000):
-        some = nodes[at : at + 50_000]
-        pairs = [(n, r) for n in some if (r := find(n)) != n]
-        if pairs:
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+        def trees() -> Iterator[pd.DataFrame]:
+            nodes = list(parent)
+            for at in range(0, len(nodes), 50_000):
+                yield pd.DataFrame([(n, find(n)) for n in nodes[at : at + 50_000]], columns=["a", "b"])
+            parent.clear()
 
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                x, y = find(a), find(b)
+                if x != y:
+                    low, high = (x, y) if x < y else (y, x)
+                    parent[high] = low
+                    if len(parent) >= most:
+                        yield from trees()
+        yield from trees()
 
-def _local(links: DataFrame) -> DataFrame:
-    return map_pandas(links, _forest, links.schema)
+    return run
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
@@ -65,21 +68,19 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return up.unionByName(least.where("a <> least").select("a", F.col("least").alias("b"))).distinct()
 
 
-def components(links: DataFrame, a: str, b: str, task_links: int = TASK_LINKS) -> DataFrame:
+def _merged(forest: DataFrame) -> bool:
+    """Whether the links are stars: no node has two parents, and none is both a child and a parent."""
+    ends = forest.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        forest.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def components(links: DataFrame, a: str, b: str, nodes: int = NODES) -> DataFrame:
     """(node, root) for every node that has a link to another."""
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    forest = cut(_local(pairs))
-    while (n := forest.count()) > task_links:
-        merged = cut(_star(_star(forest, small=False), small=True))
-        # Stars are reached when no parent is a child and no child has two parents.
-        mixed = merged.select("b").distinct().join(merged.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
-        mixed = mixed or merged.groupBy("a").count().where("count > 1").limit(1).count()
-        forest = merged
-        if not mixed:
-            return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(forest.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    width = -(-n // 50_000)
-    while width > 1:
-        width = -(-width // FAN_IN)
-        forest = _local(forest.coalesce(width))
-    forest = _local(forest.coalesce(1))
+    pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    # Each link comes to one task, whichever way and however often it is given.
+    forest = cut(map_pandas(pairs.distinct(), _forest(nodes), pairs.schema))
+    while not _merged(forest):
+        forest = cut(_star(_star(forest, small=False), small=True))
     return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(forest.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -23,6 +23,11 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("split", "rows", "groups", F.round(F.col("rows") / whole, 6).alias("share"))
 
 
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every group with its rows and the number of splits it is in, which is 1."""
+    return p2_splits(spark, sf).groupBy("group").agg(F.count("*").alias("rows"), F.count_distinct("split").alias("splits"))
+
+
 def p3_rows(spark: SparkSession, sf: str) -> DataFrame:
     return token_budget.row_budget(table(spark, sf, "sft_merged"), table(spark, sf, "instances"), table(spark, sf, "repos"))
 
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report,
+    "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
     "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt,
     "p5_found": p5_found, "p5_groups": p5_groups,
@@ -122,13 +127,24 @@ _TEXT = f"array_to_string({_LIST}, '')"
 _IDS = r"""SELECT *, CASE WHEN contains(core, '__') AND NOT regexp_matches(core, '^[^_/]+/') THEN core ELSE regexp_replace(core, '^([^/_]+)(?:/|_1776_|_s_)', '\1__') END AS spelled
     FROM (SELECT *, CASE WHEN contains(t, '::') AND NOT regexp_matches(split_part(t, '::', 1), '__|/|_1776_') THEN substr(t, instr(t, '::') + 2) ELSE t END AS core
         FROM (SELECT row_id, regexp_replace(lower(regexp_replace(instance_id, '^\s+|\s+$', '', 'g')), '(::chunk\d+)+$', '') AS t FROM sft_merged))"""
-SQL: dict[str, str] = {
-    "p2_found": rf"""WITH RECURSIVE links AS (SELECT lower(repo) AS a, 'owner:' || lower(owner) AS b FROM repos UNION SELECT lower(repo), lower(fork_of) FROM repos WHERE fork_of IS NOT NULL),
+_FAMILIES = rf"""links AS (SELECT lower(repo) AS a, 'owner:' || lower(owner) AS b FROM repos UNION SELECT lower(repo), lower(fork_of) FROM repos WHERE fork_of IS NOT NULL),
         ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT lower(repo) AS x, lower(repo) AS y FROM repos UNION SELECT r.x, w.b FROM reach r JOIN ways w ON w.a = r.y),
         families AS (SELECT x AS node, min(repo) AS family FROM reach JOIN repos ON lower(repo) = y GROUP BY 1),
         names AS (SELECT lower(repo) AS name, lower(repo) AS node FROM repos UNION ALL SELECT lower(former_name), lower(repo) FROM repos WHERE former_name IS NOT NULL AND lower(former_name) NOT IN (SELECT lower(repo) FROM repos)),
-        ids AS (SELECT row_id, regexp_replace(regexp_replace(spelled, '#(\d+)$', '-\1'), '(-\d+|\.[0-9a-f]{{6,40}}\..*)$', '') AS name FROM ({_IDS}))
-        SELECT row_id, family FROM ids JOIN names USING (name) JOIN families USING (node)""",
+        ids AS (SELECT row_id, core, regexp_replace(regexp_replace(spelled, '#(\d+)$', '-\1'), '(-\d+|\.[0-9a-f]{{6,40}}\..*)$', '') AS name FROM ({_IDS}))"""
+_GROUPS = f"""{_FAMILIES}, grouped AS (SELECT coalesce('family:' || family, CASE WHEN regexp_matches(i.name, '^[^_/]+__.') THEN 'repo:' || i.name END, 'id:' || nullif(core, ''), 'row:' || row_id) AS "group"
+        FROM ids i LEFT JOIN names n ON n.name = i.name LEFT JOIN families USING (node)),
+        sizes AS (SELECT "group", count(*) AS rows FROM grouped GROUP BY 1)"""
+_MOST = ("a >= b AND a >= c", "NOT (a >= b AND a >= c) AND b >= c", "NOT (a >= b AND a >= c) AND b < c")
+_GIVE = ", ".join(f"{x} - CASE WHEN {m} THEN rows ELSE 0 END, r{x} + CASE WHEN {m} THEN rows ELSE 0 END, g{x} + CASE WHEN {m} THEN 1 ELSE 0 END" for x, m in zip("abc", _MOST))
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH RECURSIVE {_FAMILIES} SELECT row_id, family FROM ids JOIN names USING (name) JOIN families USING (node)""",
+    "p2_groups": f"""WITH RECURSIVE {_GROUPS} SELECT "group", rows, 1::BIGINT AS splits FROM sizes""",
+    "p2_report": f"""WITH RECURSIVE {_GROUPS}, o AS (SELECT rows, row_number() OVER (ORDER BY rows DESC) AS k FROM sizes), t AS (SELECT sum(rows)::DOUBLE AS n FROM sizes),
+        walk AS (SELECT 0::BIGINT AS k, n * 0.8::DOUBLE AS a, 0::BIGINT AS ra, 0::BIGINT AS ga, n * 0.1::DOUBLE AS b, 0::BIGINT AS rb, 0::BIGINT AS gb, n * 0.1::DOUBLE AS c, 0::BIGINT AS rc, 0::BIGINT AS gc FROM t
+            UNION ALL SELECT o.k, {_GIVE} FROM walk w JOIN o ON o.k = w.k + 1),
+        last AS (SELECT * FROM walk ORDER BY k DESC LIMIT 1)
+        SELECT split, rows, groups, round(rows / n, 6) AS share FROM t, (SELECT 'train' AS split, ra AS rows, ga AS groups FROM last UNION ALL SELECT 'validation', rb, gb FROM last UNION ALL SELECT 'test', rc, gc FROM last) WHERE rows > 0""",
     "p3_found": f"""SELECT row_id FROM sft_merged ANTI JOIN (SELECT row_id FROM ({_STRINGS})
         WHERE regexp_matches(piece, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]')) USING (row_id)""",
     "p4_found": f"""SELECT row_id FROM ({_STRINGS}) GROUP BY row_id

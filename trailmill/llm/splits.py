@@ -65,7 +65,8 @@ def _fill(missing: list[float], size: int, count: int) -> list[int]:
         low, high = (low, mid) if sum(given(mid)) <= count else (mid, high)
     out = given(high)
     while sum(out) > count:
-        out[max(range(len(out)), key=lambda i: out[i])] -= 1
+        # What was given last is taken back: where least was missing, of equal ones the last split.
+        out[min((i for i in range(len(out)) if out[i]), key=lambda i: (missing[i] - size * (out[i] - 1), -i))] -= 1
     while sum(out) < count:
         out[max(range(len(out)), key=lambda i: (missing[i] - size * out[i], -i))] += 1
     return out
