@@ -15,7 +15,8 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from trailmill.session import local_session
 
-    session = local_session(4, **{"spark.driver.memory": "3g"})
+    # A plan whose generated code is too large to compile would silently run slower; here it fails.
+    session = local_session(4, **{"spark.driver.memory": "3g", "spark.sql.codegen.fallback": "false"})
     yield session
     session.stop()
 

@@ -12,26 +12,32 @@ from pyspark.sql import Column, functions as F
 
 def core_id(instance_id: Column) -> Column:
     """The id in lower case without surrounding blanks, data-set prefix and chunk suffix; null if nothing is left."""
+    return F.nullif(_core(instance_id), F.lit(""))
+
+
+# Each step is one pattern that uses the step before once: Spark inlines columns, and a step used twice doubles the code.
+def _core(instance_id: Column) -> Column:
     s = F.lower(F.regexp_replace(instance_id, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     s = F.regexp_replace(s, r"(::chunk\d+)+$", "")
-    prefix = F.substring_index(s, "::", 1)
-    named = prefix.contains("__") | prefix.contains("/") | prefix.contains("_1776_")
-    s = F.when(s.contains("::") & ~named, F.substr(s, F.instr(s, "::") + 2)).otherwise(s)
-    return F.nullif(s, F.lit(""))
+    # A prefix that is no id itself.
+    return F.regexp_replace(s, r"(?s)^(?:(?!__|/|_1776_|::).)*::", "")
 
 
 def unified_id(instance_id: Column) -> Column:
     """`core_id` with the separator of owner and name, and that of the number, brought to one spelling."""
-    s = core_id(instance_id)
-    s = F.when(s.contains("__") & ~s.rlike(r"^[^_/]+/"), s).otherwise(F.regexp_replace(s, r"^([^/_]+)(?:/|_1776_|_s_)", "$1__"))
+    return F.nullif(_unified(instance_id), F.lit(""))
+
+
+def _unified(instance_id: Column) -> Column:
+    # An id that has the separator already keeps it, unless a slash comes first.
+    s = F.regexp_replace(_core(instance_id), r"(?s)^(?=[^/_]+/|(?!.*__))([^/_]+)(?:/|_1776_|_s_)", "$1__")
     return F.regexp_replace(s, r"#(\d+)$", "-$1")
 
 
 def repo_name(instance_id: Column) -> Column:
     """`owner__name` in lower case if the id has that form, else null."""
-    s = unified_id(instance_id)
-    s = F.regexp_replace(s, r"(-\d+|\.[0-9a-f]{6,40}\..*)$", "")
-    return F.when(s.rlike(r"^[^_/]+__."), s)
+    s = F.regexp_replace(_unified(instance_id), r"(-\d+|\.[0-9a-f]{6,40}\..*)$", "")
+    return F.nullif(F.regexp_extract(s, r"^[^_/]+__.(?s:.*)\z", 0), F.lit(""))
 
 
 def issue_suffix(instance_id: Column) -> Column:
