@@ -58,7 +58,7 @@ def test_union_and_sticky(spark, rows):
 
 def test_rank_is_a_permutation_in_each_key(rows):
     for repo, n in (("a", 50), ("b", 5), (None, 3)):
-        got = rank(rows, ["repo"], ["instance_id"], "r", buckets=8).where(F.col("repo").eqNullSafe(repo)).collect()
+        got = rank(rows, ["repo"], ["instance_id"], "r").where(F.col("repo").eqNullSafe(repo)).collect()
         assert sorted(r.r for r in got) == list(range(n))
 
 
@@ -67,3 +67,30 @@ def test_running_total(spark):
     got = running_total(df, ["k"], F.floor(F.col("id") / 10), ["id"], F.col("v"), "t").collect()
     for r in got:
         assert r.t == sum(x for x in range(r.id) if x % 3 == r.k)
+
+
+def test_ranks_do_not_depend_on_the_number_of_buckets(spark):
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS k", "'x' AS _key")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    few = {r.id: r.r for r in rank(df, ["k"], ["id"], "r").collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "700")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert {r.id: r.r for r in rank(df, ["k"], ["id"], "r").collect()} == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k in (None, 1, 2):
+        assert sorted(v for i, v in few.items() if (i % 3 or None) == k) == list(range(sum((i % 3 or None) == k for i in few)))
+
+
+def test_a_large_stratum_is_sampled_in_hash_order(spark):
+    df = spark.range(300).selectExpr("cast(id AS string) AS instance_id", "CASE WHEN id % 10 = 0 THEN 'small' WHEN id % 10 < 9 THEN 'hot' END AS repo", "id AS round_no")
+    got = [(r.instance_id, r.repo, r["round"]) for r in S.stratified_sample(df, 250, "repo", "instance_id", 3).collect()]
+    import hashlib
+
+    order = lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest()
+    for repo in ("small", "hot", None):
+        ids = sorted((r.instance_id for r in df.where(F.col("repo").eqNullSafe(F.lit(repo))).collect()), key=order)
+        mine = [(i, k) for i, p, k in got if p == repo]
+        assert [i for i, _ in mine] == ids[: len(mine)] and [k for _, k in mine] == list(range(1, len(mine) + 1))
+    assert len(got) == 250

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ranking import hash_bucket, rank, running_total
+from ..functions.ranking import hash_bucket, hash_order as in_hash_order, rank, running_total
 from ..session import cut
 
 SEPARATOR = ":"
@@ -18,11 +18,14 @@ def hash_order(seed: int, *columns: Column | str) -> Column:
 
 def stratified_sample(rows: DataFrame, n: int | None, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """n rows by round robin over the strata: one of each stratum a round, strata in hash order; None: all rows. Adds
-    `round`, from 1. Rounds beyond n need no look, so a stratum keeps at most n rows before the final ordering."""
+    `round`, from 1. Rounds beyond n need no look, so a stratum keeps at most n rows before the final ordering. A large
+    stratum is ranked in buckets by the first digits of the hash, so no task orders it alone."""
     if n is None:
         return rows.withColumn("round", F.lit(None).cast("int"))
-    inside = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), F.col(key))
-    ranked = rows.withColumn("round", F.row_number().over(inside)).where(F.col("round") <= n)
+    hashed = rows.withColumn("_hash", hash_order(seed, F.col(key)))
+    place = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
+    ranked = running_total(hashed, [stratum], F.coalesce(place, F.lit(-1)), [F.col("_hash"), F.col(key)], F.lit(1), "round")
+    ranked = ranked.withColumn("round", (F.col("round") + 1).cast("int")).where(F.col("round") <= n).drop("_hash").select(*rows.columns, "round")
     return ranked.orderBy("round", hash_order(seed, F.coalesce(F.col(stratum), F.lit(""))), stratum).limit(n)
 
 
@@ -80,7 +83,7 @@ def batch(rows: DataFrame, key: str, step: int, size: int, seed: int = 42) -> Da
     n = rows.agg(F.count("*").alias("n"))
     draws = n.where("n > 0").select("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
     draws = draws.select("slot", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(SEPARATOR, F.lit(str(seed)), F.lit(str(step)), F.col("slot").cast("string"))), 1, 12), 16, 10).cast("long"), F.col("n")).alias("ordinal"))
-    pool = running_total(rows.withColumn("_all", F.lit(1)), ["_all"], hash_bucket(key), [F.xxhash64(F.lit(7), key), key], F.lit(1), "ordinal").drop("_all")
+    pool = running_total(rows.withColumn("_all", F.lit(1)), ["_all"], hash_bucket(rows, key), [in_hash_order(key), key], F.lit(1), "ordinal").drop("_all")
     return draws.join(pool, "ordinal").drop("ordinal")
 
 
