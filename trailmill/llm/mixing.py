@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.ranking import hash_bucket, running_total
+from ..functions.ranking import hash_bucket, hash_order, running_total
 from ..session import cut, map_arrow
 from .tokens import VOCABULARY, count_column
 
@@ -133,7 +133,7 @@ def blocks(documents: DataFrame, sources: list[str], block: int = BLOCK, path: s
     token_to) of their blocks."""
     chosen = documents.where(F.col("source").isin(sources) & (F.coalesce(F.length("text"), F.lit(0)) > 0)).select("source", key, "text")
     measured = cut(count_column(chosen, "text", path))
-    placed = running_total(measured.where("n_tokens > 0"), ["source"], hash_bucket(key), [F.xxhash64(F.lit(7), key), key], F.col("n_tokens"), "start")
+    placed = running_total(measured.where("n_tokens > 0"), ["source"], hash_bucket(measured, key), [hash_order(key), key], F.col("n_tokens"), "start")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block)
     pieces = placed.select("source", key, "start", "n_tokens", F.explode(F.sequence(first, last)).alias("block_no")).select(
         "source", "block_no", key,
