@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import MESSAGES, msg
+from pyspark.sql import functions as F
 
 from trailmill.llm import neardup as N
 
@@ -52,9 +53,20 @@ def test_pairs_against_brute_force(spark, texts):
 
 def test_blocks_give_the_same_candidates(spark, texts):
     df = frame(spark, [texts[0] + f" v{i}" for i in range(40)] + texts[:30])
-    sketched = N.map_arrow(N._texts(df, "row_id"), N._sketch(20, 2), "id bigint, same binary, size int, registers binary, bands array<bigint>").select("id", "bands")
-    small, large = ({(r.a, r.b) for r in N.candidates(sketched, b).collect()} for b in (4, 10_000))
-    assert small == large and len(large) >= 780
+    sketched = N.sketch_table(df, "row_id", 20, 2).select("id", "bands")
+    # All values streamed; long ones split after the stream; frequent ones split before it; a sample that finds some.
+    ways = {"stream": (10_000, 10**6, 10**6), "over": (4, 10**6, 10**6), "blocks": (4, 10**6, 2), "one block": (10_000, 10**6, 2), "sampled": (6, 30, 3)}
+    found = {k: {(r.a, r.b) for r in N.candidates(sketched, 70, *w).collect()} for k, w in ways.items()}
+    assert all(x == found["stream"] for x in found.values()) and len(found["stream"]) >= 780
+
+
+def test_search(spark, texts):
+    df = frame(spark, texts).withColumn("row_id", F.col("row_id") * 50)  # every other one is a query
+    members, pairs = N.similar(df)
+    all_pairs = {(r.row_id_a, r.row_id_b) for r in N.row_pairs(members, pairs).collect()}
+    both = all_pairs | {(b, a) for a, b in all_pairs}
+    got = [(r.query_id, r.row_id) for r in N.search(members, pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in both if a % 100 == 0}
 
 
 def test_groups(spark, texts):

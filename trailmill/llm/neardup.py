@@ -14,9 +14,14 @@ up to the time by which every register has surely been hit.
 Misses: a pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS; at s = 0.63 that is below 1e-4, at
 0.7 below 1e-8. The likelihood test lets a pair go only if it lies 5 standard deviations below the threshold.
 
-Skew: equal records are collapsed before anything else. A band value shared by more than `BUCKET` representatives is
-split by hash into blocks of about that size and compared block against block, in different tasks, so no group is ever
-held whole and none is capped.
+Skew: equal records are collapsed before anything else; a class that has many of the rows is joined by weight. Band
+values that are frequent in a sample of representatives are split by hash into blocks of about `BUCKET` members before
+anything is shuffled; of the others the sample let through, one with more members than that is streamed as 16-byte rows
+and then split likewise. Blocks are compared with each other in different tasks, so no group is ever held whole and none
+is capped; which way a value goes decides who compares, never what is compared.
+
+The texts are read once: sketches, bands and the sets themselves (as 40-bit hashes, for the verification) are written to
+a table in the shared folder, from which each later step reads only the columns it needs.
 
 Defined cases: null messages, null and empty texts, and records of fewer than three words are in no pair; repeated
 records (equal sets) have similarity 1; ids are assumed unique; empty tables give empty results; further columns are
@@ -33,7 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, map_arrow
+from ..functions.skew import join_by_weight
+from ..session import cut, map_arrow, scratch_path
 from .components import components
 from .texts import strings
 
@@ -44,6 +50,9 @@ BASE = 1.001
 KEPT = 128
 #: Members of a band value that are compared within one task.
 BUCKET = 256
+#: Representatives in the sample, about, and how many of them must share a band value for it to be split at once. The
+#: values found are broadcast: at most SAMPLE * BANDS / FREQUENT of them, 2 MB.
+SAMPLE, FREQUENT = 20_000, 20
 
 _LONE = "々-〇぀-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{_LONE}]|[^\W{_LONE}]+")
@@ -169,8 +178,15 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return np.take_along_axis(j, likely.argmax(1)[:, None], 1)[:, 0]
 
 
+def _prints(s: np.ndarray) -> bytes:
+    """A sorted set as 5-byte hashes, in order, each once."""
+    t = s >> _U(24)
+    t = t[np.concatenate(([True], t[1:] != t[:-1]))]
+    return t.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
 def _sketch(bands: int, rows: int):
-    """(id, texts) -> (id, set hash, size, kept registers, band values)."""
+    """(id, texts) -> (id, set hash, size, kept registers, band values, the set as 5-byte hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -195,8 +211,9 @@ def _sketch(bands: int, rows: int):
                             pa.array([len(s) for s in sets], pa.int32()),
                             pa.array([r.tobytes() for r in k[:, :KEPT]], pa.binary()),
                             pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, pa.array(values.ravel())),
+                            pa.array([_prints(s) for s in sets], pa.binary()),
                         ],
-                        names=["id", "same", "size", "registers", "bands"],
+                        names=["id", "same", "size", "registers", "bands", "prints"],
                     )
                     todo, weight = [], 0
 
@@ -267,19 +284,29 @@ def _stream_buckets(limit: int):
     return run
 
 
-def candidates(sketched: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), a < b, each once: representatives that agree in a band. `sketched` has (id, bands)."""
+def _frequent(sketched: DataFrame, total: int, bucket: int, sample: int, frequent: int) -> DataFrame:
+    """(value, blocks): band values that a sample of `sketched`, by hash of the id, shows to be frequent."""
+    span = 1 << 30
+    share = min(1.0, sample / max(1, total))
+    some = sketched.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(span)) < int(span * share))
+    counts = some.select(F.explode("bands").alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= frequent)
+    return counts.select("value", F.ceil(F.col("n") / F.lit(share * bucket)).cast("int").alias("blocks"))
+
+
+def candidates(sketched: DataFrame, total: int, bucket: int = BUCKET, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
+    """(a, b), a < b, each once: representatives that agree in a band. `sketched` has (id, bands) and `total` rows."""
     rows = sketched.select("id", F.explode("bands").alias("value")).select("value", "id")
-    found = cut(
-        map_arrow(rows.repartition("value").sortWithinPartitions("value"), _stream_buckets(bucket), "value bigint, a bigint, b bigint").distinct()
-    )
+    known = cut(_frequent(sketched, total, bucket, sample, frequent))
+    marked = rows.join(F.broadcast(known), "value", "left")
+    rest = marked.where("blocks IS NULL").select("value", "id")
+    found = cut(map_arrow(rest.repartition("value").sortWithinPartitions("value"), _stream_buckets(bucket), "value bigint, a bigint, b bigint").distinct())
     pairs = found.where("value IS NULL").select("a", "b")
-    large = found.where("value IS NOT NULL").select("value", F.col("a").alias("id"))
-    counts = large.groupBy("value").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"))
+    over = found.where("value IS NOT NULL").select("value", F.col("a").alias("id"))
+    counts = over.groupBy("value").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"))
+    large = marked.where("blocks IS NOT NULL").select("value", "id", "blocks").unionByName(over.join(counts, "value"))
     # Block i against block j <= i: a member of block x goes to all (max(x, y), min(x, y)).
     placed = (
-        large.join(counts, "value")
-        .withColumn("own", F.pmod(F.xxhash64("id", "value"), F.col("blocks")).cast("int"))
+        large.withColumn("own", F.pmod(F.xxhash64("id", "value"), F.col("blocks")).cast("int"))
         .select("value", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .groupBy("value", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"))
         .agg(F.collect_list(F.struct("own", "id")).alias("members"))
@@ -291,17 +318,6 @@ def candidates(sketched: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(blocked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, the set as 5-byte hashes, in order)."""
-    shingle = Shingler()
-    for batch in batches:
-        packed = []
-        for t in batch.column(1).to_pylist():
-            s = np.unique(shingle(t) >> _U(24))
-            packed.append(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "prints"])
-
-
 def _verify(threshold: float):
     def unpack(x: bytes) -> np.ndarray:
         out = np.zeros((len(x) // 5, 8), np.uint8)
@@ -327,20 +343,28 @@ def _verify(threshold: float):
 FILTER_BITS = 1 << 23
 
 
-def _only(records: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """`records` whose key may be among `ids`, by a filter of FILTER_BITS bits (1 MB), which is all that is broadcast."""
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(3)), F.lit(FILTER_BITS))
-    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("_bits"))
-    marked = records.withColumn("_p", place(key)).withColumn("_word", F.shiftright("_p", 6))
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` whose id may be among `ids`, by a filter of FILTER_BITS bits (1 MB), which is all that is broadcast."""
+    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6))
     return marked.join(F.broadcast(words), "_word").where("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0").drop("_word", "_bits", "_p")
 
 
+def sketch_table(records: DataFrame, key: str = "row_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, same, size, registers, bands, prints) of every record that has a set, as a table in the shared folder."""
+    spark, path = records.sparkSession, scratch_path(records.sparkSession, "sketches")
+    made = map_arrow(_texts(records, key), _sketch(bands, rows), "id bigint, same binary, size int, registers binary, bands array<bigint>, prints binary")
+    made.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def similar(records: DataFrame, key: str = "row_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Membership (id, rep) of every record that has a set, and pairs (a, b, similarity) of representatives, a < b."""
-    sketched = cut(map_arrow(_texts(records, key), _sketch(bands, rows), "id bigint, same binary, size int, registers binary, bands array<bigint>"))
-    members = cut(sketched.select("id", "same").join(sketched.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep"))
-    reps = members.where("id = rep").select("id")
-    found = candidates(sketched.join(reps, "id", "left_semi").select("id", "bands"))
+    sketched = sketch_table(records, key, bands, rows)
+    classes = cut(sketched.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    members = cut(join_by_weight(sketched.select("id", "same"), classes, ["same"], "n", "id").select("id", "rep"))
+    found = candidates(sketched.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), classes.count())
     kept = sketched.select("id", "size", "registers")
     both = (
         found.join(kept.toDF("a", "size_a", "registers_a"), "a")
@@ -348,14 +372,14 @@ def similar(records: DataFrame, key: str = "row_id", threshold: float = THRESHOL
         .select("a", "b", "size_a", "size_b", "registers_a", "registers_b")
     )
     likely = cut(map_arrow(both, _estimate(threshold), "a bigint, b bigint"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("id"))
-    prints = map_arrow(_texts(_only(records.select(key, "messages"), key, ends), key), _prints, "id bigint, prints binary")
+    prints = _only(sketched.select("id", "prints"), likely.select(F.explode(F.array("a", "b")).alias("id")))
     pairs = likely.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b").select("a", "b", "prints_a", "prints_b")
     return members, map_arrow(pairs, _verify(threshold), "a bigint, b bigint, similarity double")
 
 
 def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b), a < b: the pairs of representatives and the classes, written out row by row."""
+    """(row_id_a, row_id_b), a < b: the pairs of representatives and the classes, written out row by row. As many rows as
+    there are pairs; where copies abound, `search` and `groups` say the same in less."""
     left, right = members.toDF("x", "a"), members.toDF("y", "b")
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
     shared = members.where("id <> rep").select("rep").distinct()
@@ -364,6 +388,18 @@ def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def search(members: DataFrame, pairs: DataFrame, every: int = 100) -> DataFrame:
+    """(query_id, row_id, similarity): every row similar to a query, a row whose id is divisible by `every`; equal texts
+    have similarity 1."""
+    queries = members.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "rep")
+    pairs = pairs.select("a", "b", "similarity")
+    near = queries.select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")).unionByName(
+        pairs.toDF("rep", "other", "similarity").unionByName(pairs.select("b", "a", "similarity").toDF("rep", "other", "similarity"))
+    )
+    hits = queries.join(near, "rep").join(members.select(F.col("id").alias("row_id"), F.col("rep").alias("other")), "other")
+    return hits.where("query_id <> row_id").select("query_id", "row_id", "similarity")
+
+
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row_id, class_id, group_id, links): the representative of a record's class, the least id of its group, and to
     how many other classes the class is linked."""

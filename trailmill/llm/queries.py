@@ -61,6 +61,10 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*neardup.similar(table(spark, sf, "sft_merged")))
 
 
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.search(*neardup.similar(table(spark, sf, "sft_merged"))).select("query_id", "row_id")
+
+
 def _capacity(spark: SparkSession, sf: str) -> int:
     return chunking.limits(table(spark, sf, "size_limits"), "pack_container").size
 
@@ -113,7 +117,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_rows": p3_rows, "p3_budget": p3_budget,
     "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt,
-    "p5_found": p5_found, "p5_groups": p5_groups,
+    "p5_found": p5_found, "p5_groups": p5_groups, "p5_search": p5_search,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact, "p7_exact_mix": p7_exact_mix,
     "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments,
