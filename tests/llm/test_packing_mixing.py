@@ -60,6 +60,12 @@ def test_pack(spark):
             bins[at] += size
     assert max(fill.values()) <= 64 and len(fill) <= len([x for x in bins if x])
     assert all((r.container_id is None) == (r.token_to == r.token_from) for r in out)
+    sized = P.sizes(df)
+    assert {r.doc_id for r in P.cut_items(P.pack(sized, 64)).collect()} == {r.doc_id for r in sized.where("n_tokens > 64").collect()}
+    proof = P.proof(P.pack(sized, 64), sized, 64).first()
+    assert (proof.documents, proof.broken, proof.cut_in_vain, proof.overfull) == (sized.count(), 0, 0, 0)
+    wrong = P.pack(sized, 64).where("part_no = 0").withColumn("container_id", F.lit(1).cast("long"))
+    assert P.proof(wrong, sized, 64).where("broken > 0 AND overfull = 1").count() == 1
     assert P.pack(P.sizes(df.limit(0)), 64).count() == 0 and P.report(P.pack(P.sizes(df.limit(0)), 64), 64).first().containers == 0
 
 
@@ -107,8 +113,10 @@ def test_mix(spark):
     held = {s: sum(len(encode(t)) for t, x in rows if x == s and t) for s in ("a", "b", "c")}
     total = sum(held.values())
     assert {s: rep[s].tokens for s in held} == held and rep["none"].tokens == 0
-    assert {s for s in rep if rep[s].short} == {r.source for r in targets.collect() if held.get(r.source, 0) * r.max_repeats < r.target_share * total}
+    assert {r.source for r in M.short_sources(report, 16).collect()} == {r.source for r in targets.collect() if held.get(r.source, 0) * r.max_repeats < r.target_share * total}
     assert abs(rep["a"].used_tokens - 0.5 * total) <= 40 and abs(rep["b"].used_tokens - 0.3 * total) <= 40 and abs(sum(r.share for r in rep.values()) - 1) < 1e-9
+    assert all(r.uses_above == r.repeated_uses == 0 for r in M.proof(mixed, report).collect())
+    assert {r.source for r in M.proof(mixed.unionByName(mixed.where("source = 'a'").withColumn("slot", F.col("slot") + 1000)), report).where("repeated_uses > 0").collect()} == {"a"}
     uses = {}
     for r in mixed.collect():
         for t in range(r.token_from, r.token_to):
@@ -134,5 +142,6 @@ def test_exact_mix_does_without_a_source_that_has_nothing(spark):
     df = documents(spark, [("word " * 60, s) for s, n in (("a", 60), ("b", 20)) for _ in range(n)])
     targets = spark.createDataFrame([("a", 0.45, 3), ("b", 0.45, 1), ("none", 0.1, 9)], "source string, target_share double, max_repeats int")
     report = {r.source: r for r in M.mix(df, targets, block=16, shard=32, exact=True)[1].collect()}
-    assert report["none"].used_tokens == 0 and report["none"].short
+    assert report["none"].used_tokens == 0
+    assert "none" in {r.source for r in M.short_sources(M.mix(df, targets, block=16, shard=32)[1], 16).collect()}
     assert report["b"].used_tokens == report["b"].tokens and abs(report["a"].share - 0.5) < 0.02

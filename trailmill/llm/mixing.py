@@ -145,7 +145,7 @@ def blocks(documents: DataFrame, sources: list[str], block: int = BLOCK, path: s
 
 def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 42, path: str = VOCABULARY, key: str = "doc_id", exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mix (shard, slot, source, use_no, block_no, key, token_from, token_to), and the report (source, target_share,
-    max_repeats, tokens, used_tokens, share, most_uses, short)."""
+    max_repeats, tokens, wanted_tokens, used_tokens, share, most_uses)."""
     spark = documents.sparkSession
     goals = [r for r in targets.select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("long").alias("repeats")).collect() if r.source is not None]
     measured, pieces = blocks(documents, [g.source for g in goals], block, path, key)
@@ -181,9 +181,25 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
     # Spark takes the drawn slots for as small as the shard numbers they come from; they must not be broadcast.
     mixed = drawn.hint("merge").join(pieces.hint("merge"), ["source", "block_no"]).select("shard", "slot", "source", "use_no", "block_no", key, "token_from", "token_to")
     used = mixed.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used_tokens"), (F.max("use_no") + 1).alias("most_uses"))
-    schema = T.StructType([T.StructField(*x) for x in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("tokens", T.LongType()), ("short", T.BooleanType()))])
-    asked = spark.createDataFrame([(g.source, g.share, g.repeats, int(n), bool(int(n) * (g.repeats or 0) < (g.share or 0) * total)) for g, n in zip(goals, have)], schema)
+    schema = T.StructType([T.StructField(*x) for x in (("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.LongType()), ("tokens", T.LongType()), ("wanted_tokens", T.DoubleType()))])
+    asked = spark.createDataFrame([(g.source, g.share, g.repeats, int(n), float((g.share or 0) * total)) for g, n in zip(goals, have)], schema)
     joined = asked.join(used, "source", "left").withColumns({"used_tokens": F.coalesce("used_tokens", F.lit(0)), "most_uses": F.coalesce("most_uses", F.lit(0))})
     everything = Window.partitionBy()  # over the rows of the fixed table of targets
     reached = joined.withColumn("_all", F.sum("used_tokens").over(everything)).withColumn("share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(0.0))
-    return mixed, reached.select("source", "target_share", "max_repeats", "tokens", "used_tokens", "share", "most_uses", "short")
+    return mixed, reached.select("source", "target_share", "max_repeats", "tokens", "wanted_tokens", "used_tokens", "share", "most_uses")
+
+
+def short_sources(report: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Sources that the mix has less of than they should give, and that could not have given it: what was drawn is
+    compared first, to a block; all that a source may give, used as often as it may, decides the rest."""
+    drawn_less = F.col("used_tokens") < F.col("wanted_tokens") + block
+    return report.where(drawn_less & (F.greatest("used_tokens", F.col("tokens") * F.coalesce("max_repeats", F.lit(0))) < F.col("wanted_tokens"))).select("source")
+
+
+def proof(mixed: DataFrame, report: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, uses_above, repeated_uses): uses beyond `max_repeats`, and uses of a block with
+    the same number that come more than once; both are 0."""
+    uses = mixed.select("source", "use_no", "block_no", "shard", "slot").distinct().groupBy("source", "use_no", "block_no").agg(F.count("*").alias("n"))
+    per = uses.groupBy("source").agg(F.max("use_no").alias("last"), F.sum(F.col("n") - 1).alias("again"))
+    joined = report.select("source", "target_share", "max_repeats").join(per, "source", "left")
+    return joined.select("source", "target_share", "max_repeats", F.greatest(F.coalesce("last", F.lit(-1)) + 1 - F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("uses_above"), F.coalesce("again", F.lit(0)).alias("repeated_uses"))

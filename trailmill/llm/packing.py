@@ -111,6 +111,26 @@ def pack(measured: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     return map_arrow(ranked, place, f"`{key}` {kind}, part_no int, token_from bigint, token_to bigint, container_id bigint")
 
 
+def cut_items(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, tokens): items that were placed in more than one container, and their tokens."""
+    whole = packed.where("container_id IS NOT NULL").groupBy(key).agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
+    return whole.where("low <> high").select(key, "tokens")
+
+
+def proof(packed: DataFrame, measured: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """One row: items, those without room, containers above the capacity, items whose parts are not all their tokens in
+    one piece after the other, and items cut although they fit: the last three are 0."""
+    over = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("n")).where(F.col("n") > capacity).agg(F.count("*"))
+    per = packed.groupBy(key).agg(
+        F.count("*").alias("parts"), F.max("token_to").alias("end"), F.sum(F.col("token_to") - F.col("token_from")).alias("n"), F.count("container_id").alias("placed"),
+        F.count_if(F.col("token_from") != F.col("part_no").cast("long") * capacity).alias("shifted"),
+    )
+    both = measured.select(key, "n_tokens").join(per, key, "left")
+    bad = F.coalesce((F.col("n") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens")) | (F.col("shifted") > 0) | ((F.col("n_tokens") > 0) & (F.col("placed") != F.col("parts"))), F.lit(True))
+    one = both.agg(F.count("*").alias("documents"), F.count_if(F.col("n_tokens") == 0).alias("without_room"), F.count_if(bad).alias("broken"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("parts") > 1)).alias("cut_in_vain"))
+    return one.withColumn("overfull", over.scalar())
+
+
 def report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, items, tokens, the least possible number of containers, and the share of room used."""
     inside = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.count("*").alias("items"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
