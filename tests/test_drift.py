@@ -51,7 +51,7 @@ def test_majority_decides_type_and_ties_by_name(spark):
 
 
 def test_unify_converts_each_branch(spark):
-    parts = [{"type": "text", "text": "a"}, "b"]
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "text": "not this", "url": "u"}, {"text": "nor this"}, {"type": "text"}, None, 3, "b"]
     df = lines(
         spark,
         (1, "r", 1, [
@@ -87,3 +87,22 @@ def test_records_query_gives_whole_records(spark, sf):
     assert got.columns == want.columns and {"messages", "record_json"} <= set(got.columns)
     rows = got.where("messages_kind = 'array'").collect()
     assert any(r.messages and r.messages[0].content for r in rows) and all(json.loads(r.record_json) for r in rows)
+
+
+def test_every_path_has_typed_branches(spark):
+    docs = [
+        {"a": 1, "info": {"x": "t", "it's": None}, "file_id": "own", "B": True}, {"a": "1", "info": "plain", "b": [1, {"c": 2}]}, {"a": None, "info": {"x": 2.5}}, {"a": 10**25, "q.r": "dotted"}, {}, "no record", None,
+    ]
+    df = lines(spark, (1, "r", 1, ["{bad" if d == "no record" else d for d in docs])).selectExpr("file_id", "run_id", "file_seq", "line_no - 1 AS line_no", "raw", "record")
+    rows = {(r.line_no, r.field): (r.kind, r.as_string, r.as_number, r.as_boolean, r.as_json) for r in drift.branches(df).collect()}
+    assert rows[0, "a"] == ("number", None, 1.0, None, None) and rows[1, "a"] == ("string", "1", None, None, None) and rows[2, "a"] == (None,) * 5
+    assert rows[0, "info.x"] == ("string", "t", None, None, None) and rows[1, "info"] == ("string", "plain", None, None, None) and rows[0, "info.it's"] == (None,) * 5
+    assert rows[0, "B"] == ("boolean", None, None, True, None) and json.loads(rows[1, "b"][4]) == [1, {"c": 2}] and {n for n, _ in rows} == {0, 1, 2, 3}
+    wide = {r.line_no: r.asDict(recursive=True) for r in drift.fuse(df).collect()}
+    assert set(wide) == {0, 1, 2, 3, 4} and wide[0]["file_id"] == 1 and wide[0]["file_id_"] == {"kind": "string", "as_string": "own"}
+    assert wide[0]["a"] == {"kind": "number", "as_number": 1.0, "as_string": None} and wide[1]["a"]["as_string"] == "1" and wide[3]["a"]["as_number"] == 1e25
+    assert wide[0]["info"]["kind"] is None and wide[1]["info"]["as_string"] == "plain" and wide[2]["info__x"] == {"kind": "number", "as_number": 2.5, "as_string": None}
+    assert wide[0]["B"]["as_boolean"] and json.loads(wide[1]["b_"]["as_json"]) == [1, {"c": 2}] and wide[3]["q__r"]["as_string"] == "dotted" and wide[4]["a"]["kind"] is None
+    seen = {(r.field, r.kind): (r.first_seq, r.files, r.records) for r in drift.appearances(df).collect()}
+    assert seen["a", "number"] == (1, 1, 2) and seen["a", "null"] == (1, 1, 1)
+    assert drift.fuse(df.limit(0)).count() == 0 and drift.branches(df.limit(0)).count() == 0 and drift.appearances(df.limit(0)).count() == 0

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Callable
 
 Tokenizer = Callable[[str], list[int]]
+#: The rank file that is used where no path is given; TRAILMILL_VOCABULARY names another.
+VOCABULARY = os.environ.get("TRAILMILL_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _LOADED: dict[str, RankFile] = {}
 
 #: White space as the pattern of the vocabulary has it.

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import messages as M
 from ..functions import text as X
 from ..functions.instance_ids import repo_from_instance_id
+from ..functions.tokenizers import VOCABULARY
 from ..operators import context, joins, metrics, predicates as P, rewards, sampling
 from ..operators.drift import parse
-from ..session import table
+from ..session import scratch_path, table
+from ..sources import cache, json_files as J
 from ..streaming.tables import run_complete, streamed
+from . import pipelines
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUDGET = 20_000
 MAJOR, MINOR, MIN_FRACTION = "swesmith", "swegym_openhands", 0.45
 EXPERTS = ("swesmith", "swegym_openhands")
@@ -350,10 +352,10 @@ def random_batch(spark, sf):
     return sampling.batch(table(spark, sf, "instances").select("instance_id", "repo"), "instance_id", step=3, size=64)
 
 
-@query()
+@query("SELECT instance_id, 1::BIGINT AS partitions, count(*) AS rows FROM rollouts WHERE coalesce(instance_id, '') <> '' GROUP BY 1")
 def sticky_partitions(spark, sf):
     placed = sampling.sticky(table(spark, sf, "rollouts").select("instance_id"), "instance_id", 16).withColumn("partition", F.spark_partition_id())
-    return placed.groupBy("instance_id").agg(F.count_distinct("partition").alias("partitions"), F.count("*").alias("rows"))
+    return placed.where("instance_id <> ''").groupBy("instance_id").agg(F.count_distinct("partition").alias("partitions"), F.count("*").alias("rows"))
 
 
 # Context ---------------------------------------------------------------------------------------------------------
@@ -393,15 +395,35 @@ def prefix_fit(spark, sf):
     return _sft(spark, sf).select("row_id", context.fitting_prefix(context.char_costs(F.col("messages")), BUDGET, 2).alias("kept"))
 
 
-@query()
+_PARTS = f"""RECURSIVE {_TOTALS}, tail AS (SELECT row_id, i - 3 AS pos, cost, {BUDGET} - head AS room FROM t WHERE i > 2 AND original > {BUDGET}),
+    walk AS (SELECT row_id, pos, 0 AS chunk_start, cost AS used, room FROM tail WHERE pos = 0
+        UNION ALL SELECT x.row_id, x.pos, CASE WHEN w.used + x.cost > x.room THEN x.pos ELSE w.chunk_start END, CASE WHEN w.used + x.cost > x.room THEN x.cost ELSE w.used + x.cost END, x.room
+        FROM walk w JOIN tail x ON x.row_id = w.row_id AND x.pos = w.pos + 1),
+    ended AS (SELECT row_id, chunk_start, max(pos) + 1 AS chunk_end, max(used) AS used, any_value(room) AS room FROM walk GROUP BY 1, 2),
+    parts AS (SELECT row_id, chunk_start, chunk_end, CASE WHEN used <= room THEN chunk_end - chunk_start ELSE 0 END AS kept FROM ended
+        UNION ALL SELECT row_id, 0, n - least(n, 2), n - least(n, 2) FROM all_rows WHERE original <= {BUDGET}),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY chunk_start) - 1 AS k, count(*) OVER (PARTITION BY row_id) AS of FROM parts)"""
+
+
+@query(
+    f"""WITH {_PARTS}, per AS (SELECT a.row_id, count(p.row_id) AS n FROM all_rows a LEFT JOIN parts p USING (row_id) GROUP BY 1)
+        SELECT count(*) AS input_rows, sum(n)::BIGINT AS output_rows, 0::BIGINT AS truncated_rows, count_if(n > 1)::BIGINT AS chunked_rows, sum(n)::BIGINT AS total_chunks FROM per"""
+)
 def expansion_stats(spark, sf):
     return context.expansion_stats(_sft(spark, sf), "chunk", BUDGET)
 
 
-@query()
+@query(
+    f"""WITH {_PARTS} SELECT p.row_id, CASE WHEN of > 1 THEN s.instance_id || '::chunk' || k ELSE s.instance_id END AS instance_id, (least(a.n, 2) + kept)::INT AS n_messages,
+        k::INT AS chunk_index, of::INT AS num_chunks, a.original > {BUDGET} AS truncated, (chunk_end - chunk_start - kept)::INT AS dropped_messages,
+        md5(array_to_string(list_transform(list_concat(s.messages[1:2], s.messages[3 + chunk_start : 2 + chunk_start + kept]), lambda m: coalesce(m.role, '') || '|' || coalesce(m.content, '')), chr(10))) AS digest
+        FROM numbered p JOIN sft_merged s USING (row_id) JOIN all_rows a USING (row_id)"""
+)
 def chunked_rows(spark, sf):
     out = context.expand(_sft(spark, sf), "chunk", BUDGET)
-    return out.select("row_id", "instance_id", F.size("messages").alias("n_messages"), "context_limit")
+    digest = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit("|"), F.coalesce(m["content"], F.lit("")))), "\n"))
+    limit = [F.col(f"context_limit.{c}").alias(c) for c in ("chunk_index", "num_chunks", "truncated", "dropped_messages")]
+    return out.select("row_id", "instance_id", F.size("messages").alias("n_messages"), *limit, digest.alias("digest"))
 
 
 @query()
@@ -470,7 +492,12 @@ def response_view(spark, sf):
     return _sft(spark, sf).select("row_id", F.size(v).alias("messages"), F.size(F.filter(v, lambda m: m["role"] == "assistant")).alias("assistants"), F.try_element_at(F.transform(v, lambda m: m["role"]), F.lit(-1)).alias("last_role"))
 
 
-@query()
+@query(
+    f"""WITH {_FLAT}, n AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM flat), v AS (SELECT *, max(CASE WHEN i > 2 AND m.role IN ('assistant', 'tool') THEN i END) OVER (PARTITION BY row_id) AS last FROM n),
+        kept AS (SELECT row_id, m.role AS role, row_number() OVER (PARTITION BY row_id ORDER BY i) AS pos FROM v WHERE CASE WHEN n <= 2 THEN m.role IN ('user', 'assistant', 'tool') ELSE i <= 2 OR (m.role IN ('user', 'assistant', 'tool') AND i <= coalesce(last, 0)) END),
+        per AS (SELECT s.row_id, count(k.pos) AS size, coalesce(bool_or(pos <= 2 AND NOT coalesce(role IN ('system', 'user'), false)), false) AS bad, coalesce(bool_or(pos > 2 AND coalesce(role = 'assistant', false)), false) AS answered FROM sft_merged s LEFT JOIN kept k USING (row_id) GROUP BY 1)
+        SELECT CASE WHEN size < 3 THEN 'too_few_messages' WHEN bad THEN 'bad_prompt_roles' WHEN NOT answered THEN 'no_assistant' END AS problem, count(*) AS rows FROM per GROUP BY 1"""
+)
 def response_problems(spark, sf):
     return _sft(spark, sf).groupBy(M.response_problem(F.col("messages")).alias("problem")).agg(F.count("*").alias("rows"))
 
@@ -641,11 +668,116 @@ def stream_daily_status(spark, sf):
     return run_complete(counted.select(F.col("w.start").alias("day"), "exit_status", "rows")).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query()
+_BEST = """best AS (SELECT r.instance_id, coalesce(any_value(v.score), -1.0) AS score, coalesce(any_value(v.patch), '') AS patch FROM rollouts r LEFT JOIN
+    (SELECT instance_id, score, patch, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, repetition_id, rollout_id, received_at) AS k FROM rollouts WHERE score IS NOT NULL AND NOT isnan(score) AND score > -1) v
+    ON v.instance_id = r.instance_id AND v.k = 1 WHERE r.instance_id IS NOT NULL GROUP BY 1)"""
+_ENTRY = "STRUCT<model_name_or_path: STRING, instance_id: STRING, model_patch: STRING, verifier_score: DOUBLE>"
+
+
+@query(f"WITH {_BEST} SELECT instance_id, 'model' AS model, patch, round(score, 6) AS score FROM best")
 def prediction_lines(spark, sf):
-    from ..sources.json_files import prediction_lines as lines
+    """The lines, read again."""
+    lines = J.prediction_lines(metrics.best_of_n(_rollouts(spark, sf)), "model").withColumn("e", F.from_json("value", _ENTRY))
+    return lines.select("instance_id", F.col("e.model_name_or_path").alias("model"), F.col("e.model_patch").alias("patch"), F.round("e.verifier_score", 6).alias("score"))
+
+
+@query(f"WITH {_BEST} SELECT instance_id AS key, instance_id, patch, round(score, 6) AS score FROM best")
+def prediction_maps(spark, sf):
+    """Maps of about 100 predictions each, written as documents and read again."""
+    folder = scratch_path(spark, "predictions")
+    J.prediction_maps(metrics.best_of_n(_rollouts(spark, sf)), "model", 100).write.partitionBy("file_no").text(folder)
+    entries = spark.read.text(folder).select(F.explode(F.from_json("value", f"MAP<STRING, {_ENTRY}>")).alias("key", "e"))
+    return entries.select("key", "e.instance_id", F.col("e.model_patch").alias("patch"), F.round("e.verifier_score", 6).alias("score"))
+
+
+# Sources and sinks -----------------------------------------------------------------------------------------------
+
+_DIGEST = "md5(coalesce(j->>'instance_id', '') || '|' || coalesce(j->>'source', '') || '|' || coalesce(j->>'row_id', ''))"
+
 
-    return lines(metrics.best_of_n(_rollouts(spark, sf)), "model")
+@query("SELECT row_id, md5(coalesce(instance_id, '') || '|' || coalesce(source, '') || '|' || row_id) AS digest, coalesce(len(messages), 0)::INT AS n_messages FROM sft_merged")
+def json_lines_round_trip(spark, sf):
+    """All rows as lines of JSON, read again as a folder of records."""
+    folder = scratch_path(spark, "lines")
+    _sft(spark, sf).write.option("ignoreNullFields", "false").json(f"{folder}/in")
+    moved = spark.read.text(f"{folder}/in")
+    moved.write.text(f"{folder}/out")
+    records = J.read_lines(spark, f"{folder}/out")
+    text = lambda p: F.coalesce(F.expr(f"try_variant_get(record, '$.{p}', 'string')"), F.lit(""))
+    count = F.coalesce(F.expr("size(try_variant_get(record, '$.messages', 'array<variant>'))"), F.lit(0))
+    return records.select(F.expr("variant_get(record, '$.row_id', 'bigint')").alias("row_id"), F.md5(F.concat_ws("|", text("instance_id"), text("source"), text("row_id"))).alias("digest"), F.greatest(count, F.lit(0)).alias("n_messages"))
+
+
+@query("SELECT instance_id, count(*) AS reports FROM (SELECT DISTINCT instance_id, exit_status FROM rollouts WHERE reward >= 1 AND instance_id IS NOT NULL AND exit_status IS NOT NULL) GROUP BY 1")
+def resolved_reports(spark, sf):
+    """A report of each exit status as one document id -> {resolved}, written, and the resolved ids read out of them."""
+    folder = scratch_path(spark, "reports")
+    flags = _rollouts(spark, sf).where("instance_id IS NOT NULL AND exit_status IS NOT NULL").groupBy("exit_status", "instance_id").agg(F.max(F.coalesce(F.col("reward") >= 1, F.lit(False))).alias("resolved"))
+    flags.select("exit_status", F.to_json(F.create_map("instance_id", F.struct("resolved"))).alias("value")).write.partitionBy("exit_status").text(folder)
+    reports = spark.read.text(folder).select("exit_status", F.parse_json("value").alias("record"))
+    listed = reports.select("exit_status", F.explode(F.expr("try_variant_get(record, '$', 'map<string,variant>')")).alias("instance_id", "v"))
+    ids = J.resolved_ids(reports)
+    return listed.where("try_variant_get(v, '$.resolved', 'boolean')").join(ids, "instance_id", "left_semi").groupBy("instance_id").agg(F.count("*").alias("reports"))
+
+
+_SPLIT = "CASE WHEN substr(md5('7:' || instance_id), 1, 1) IN ('0', '1') THEN 'test' ELSE 'train' END"
+
+
+@query(f"SELECT {_SPLIT} AS split, count(*) AS rows FROM (SELECT DISTINCT instance_id FROM instances WHERE instance_id IS NOT NULL) GROUP BY 1")
+def split_manifest(spark, sf):
+    """One folder for each split, and the manifest of their rows."""
+    rows = joins.id_set(table(spark, sf, "instances"))
+    split = F.when(F.substring(sampling.hash_order(7, F.col("instance_id")), 1, 1).isin("0", "1"), "test").otherwise("train")
+    counts = pipelines.write_splits(rows.withColumn("split", split), "split", scratch_path(spark, "splits"))
+    return spark.createDataFrame(sorted(counts.items()), "split string, rows bigint")
+
+
+@query("SELECT 'not_ready' AS first, 'hit' AS second, 'changed_or_new' AS other, count(*) AS rows, count(*) AS rows_again FROM sft_merged")
+def cached_rows(spark, sf):
+    """A result published once and used again; other settings give another."""
+    base, settings = scratch_path(spark, "cache"), {"inputs": [sf], "tokenizer": "t", "max_length": 1, "max_rows": 0, "policy": "none", "context_limit": 0}
+    build = lambda: _sft(spark, sf).select("row_id")
+    (a, first), (b, second) = (cache.cached(spark, base, settings, build) for _ in range(2))
+    _, other = cache.cached(spark, base, settings | {"policy": "chunk"}, build)
+    facts = a.agg(F.count("*").alias("rows")).withColumn("rows_again", b.agg(F.count("*")).scalar())
+    return facts.select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit("changed_or_new" if other in ("not_ready", "changed") else other).alias("other"), "rows", "rows_again")
+
+
+# Pipelines -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT instance_id, count(*) AS rows FROM rollouts WHERE instance_id IN (SELECT instance_id FROM instances WHERE instance_id IS NOT NULL) GROUP BY 1")
+def listed_if_readable(spark, sf):
+    listed = joins.only_listed_if_readable(_rollouts(spark, sf), spark, f"{sf}/instances.parquet")
+    same = joins.only_listed_if_readable(listed, spark, f"{sf}/no_such_list.parquet")
+    return same.groupBy("instance_id").agg(F.count("*").alias("rows"))
+
+
+_TRIM = lambda c: f"regexp_replace(regexp_replace({c}, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, repo, list_filter(string_split_regex(text, '\r\n|\n|\r'), lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ')) AS lines FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, md5('You are an expert Python programmer, and here is your task:' || chr(10) || {_TRIM('text')} || chr(10) || 'Your code should pass these tests:' || chr(10) || array_to_string(['assert a', 'assert b', 'assert ' || coalesce(repo, 'c')], chr(10)) || chr(10)
+            || 'Put your complete solution in a single ```python ... ``` code block.') AS prompt, 4 AS tests, len(lines)::INT AS imports FROM d"""
+)
+def code_task_rows(spark, sf):
+    """Documents as code tasks: the prompt with the first three tests, and the import lines of the set-up."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    tests = F.array(F.lit("assert a"), F.lit("assert b"), F.concat(F.lit("assert "), F.coalesce("repo", F.lit("c"))), F.lit("assert d"))
+    setup = F.array_join(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: x.startswith("import ") | x.startswith("from ")), "\n")
+    out = pipelines.task_rows(docs.select(F.col("doc_id").alias("task_id"), "text", tests.alias("test_list"), setup.alias("test_setup_code")))
+    return out.select(F.col("task_id").alias("doc_id"), F.md5(F.col("prompt")[0]["content"]).alias("prompt"), F.size("test_list").alias("tests"), F.size("test_imports").alias("imports"))
+
+
+@query(
+    """WITH r AS (SELECT rollout_id, received_at, coalesce(length(patch), 0) AS n, coalesce(steps, 0) AS p FROM rollouts), k AS (SELECT *, least(greatest(300 + 20 - p, 0), greatest(260 - p, 0)) AS room FROM r)
+        SELECT rollout_id, received_at, least(n, room)::INT AS kept, CASE WHEN n > room THEN 'length' ELSE 'complete' END AS stop_reason FROM k"""
+)
+def response_limits(spark, sf):
+    ids = F.transform(F.sequence(F.lit(1), F.length("patch")), lambda i: i)
+    rows = _rollouts(spark, sf).select("rollout_id", "received_at", F.coalesce("steps", F.lit(0)).alias("p"), F.when(F.length("patch") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+    return rows.select("rollout_id", "received_at", context.limit_response(F.col("ids"), F.col("p"), 300, 20, 260).alias("r")).select("rollout_id", "received_at", F.size("r.ids").alias("kept"), "r.stop_reason")
 
 
 _ENTRIES = "('a', 'acc,none', 0.5, 0), ('a', 'pass@1_stderr,create', 0.01, 1), ('a', 'pass@1,create', 0.25, 2), ('b', 'pass_at_1', 0.75, 0), ('b', 'pass_at_1_stderr', 0.02, 1), ('c', 'acc', 1.0, 0)"
