@@ -8,12 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.tokenizers import rank_file as encoder
+from ..functions.tokenizers import VOCABULARY as VOCABULARY, rank_file as encoder
 from ..session import map_arrow
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-
-
 #: Places where a text can be cut without changing its tokens: the pattern never joins a character that is no white
 #: space with white space after it, and never looks back.
 SAFE_CUT = re.compile(r"(?<=\S)(?=\n)|(?<=[.:;!?。！？])(?=[ \t])")
