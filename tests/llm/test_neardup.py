@@ -69,6 +69,12 @@ def test_search(spark, texts):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in both if a % 100 == 0}
 
 
+def test_rows_without_some_ids(spark):
+    rows, ids = spark.range(2_000).withColumn("x", F.lit("y")), spark.range(0, 3_000, 3)
+    assert sorted(r.id for r in N._without(rows, ids).collect()) == [i for i in range(2_000) if i % 3]
+    assert N._without(rows, ids.limit(0)).count() == 2_000 and {r.id for r in ids.collect() if r.id < 2_000} <= {r.id for r in N._marked(rows, ids).where("_may").collect()}
+
+
 def test_groups(spark, texts):
     df = frame(spark, texts)
     out = {r.row_id: r for r in N.groups(*N.similar(df)).collect()}

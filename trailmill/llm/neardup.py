@@ -339,16 +339,24 @@ def _verify(threshold: float):
     return run
 
 
-#: Bits of the fixed-size filter that keeps records out of the verification; a full filter costs work, not results.
+#: Bits of the fixed-size filter that keeps records out of joins; a full filter costs work, not results.
 FILTER_BITS = 1 << 23
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """`rows` whose id may be among `ids`, by a filter of FILTER_BITS bits (1 MB), which is all that is broadcast."""
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` with `_may`, whether their id may be among `ids`; false only if it is not. By a filter of FILTER_BITS bits
+    (1 MB), which is all that is broadcast."""
     place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FILTER_BITS))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("_bits"))
-    marked = rows.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6))
-    return marked.join(F.broadcast(words), "_word").where("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0").drop("_word", "_bits", "_p")
+    marked = rows.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(words), "_word", "left")
+    return marked.withColumn("_may", F.expr("coalesce((_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0, false)")).drop("_word", "_bits", "_p")
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` whose id is not among `ids`; only those that the filter lets through are shuffled to find out."""
+    marked = _marked(rows, ids)
+    unsure = marked.where("_may").drop("_may").join(ids, "id", "left_anti")
+    return marked.where("NOT _may").drop("_may").unionByName(unsure)
 
 
 def sketch_table(records: DataFrame, key: str = "row_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -364,7 +372,7 @@ def similar(records: DataFrame, key: str = "row_id", threshold: float = THRESHOL
     sketched = sketch_table(records, key, bands, rows)
     classes = cut(sketched.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     members = cut(join_by_weight(sketched.select("id", "same"), classes, ["same"], "n", "id").select("id", "rep"))
-    found = candidates(sketched.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), classes.count())
+    found = candidates(_without(sketched.select("id", "bands"), members.where("id <> rep").select("id")), classes.count())
     kept = sketched.select("id", "size", "registers")
     both = (
         found.join(kept.toDF("a", "size_a", "registers_a"), "a")
@@ -372,7 +380,7 @@ def similar(records: DataFrame, key: str = "row_id", threshold: float = THRESHOL
         .select("a", "b", "size_a", "size_b", "registers_a", "registers_b")
     )
     likely = cut(map_arrow(both, _estimate(threshold), "a bigint, b bigint"))
-    prints = _only(sketched.select("id", "prints"), likely.select(F.explode(F.array("a", "b")).alias("id")))
+    prints = _marked(sketched.select("id", "prints"), likely.select(F.explode(F.array("a", "b")).alias("id"))).where("_may").drop("_may")
     pairs = likely.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b").select("a", "b", "prints_a", "prints_b")
     return members, map_arrow(pairs, _verify(threshold), "a bigint, b bigint, similarity double")
 
