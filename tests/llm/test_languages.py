@@ -73,3 +73,29 @@ def test_mixture():
 def test_without_labels(spark, docs):
     none = docs.withColumn("lang", docs["label"])
     assert L.cases(L.identify(none)).count() == 0 and L.identify(docs.limit(0)).count() == 0
+
+
+#: Prose of other subjects than those of the tables, written for this test.
+PROSE = {
+    "en": ["My grandmother keeps three hens behind the old barn.", "It rained all night, so the river had risen by the morning.", "She sold her bicycle because nobody ever fixed the brakes.", "There was hardly any bread left when we came home.", "Our neighbours sing in the choir every Thursday."],
+    "de": ["Meine Großmutter hält drei Hühner hinter der alten Scheune.", "Es regnete die ganze Nacht, deshalb stieg der Fluss bis zum Morgen.", "Sie hat ihr Fahrrad verkauft, weil niemand die Bremsen reparierte.", "Als wir heimkamen, war kaum noch Brot da.", "Unsere Nachbarn singen jeden Donnerstag im Chor."],
+    "fr": ["Ma grand-mère élève trois poules derrière la vieille grange.", "Il a plu toute la nuit, et la rivière avait monté au matin.", "Elle a vendu son vélo parce que personne ne réparait les freins.", "Il ne restait presque plus de pain quand nous sommes rentrés.", "Nos voisins chantent dans la chorale chaque jeudi."],
+    "es": ["Mi abuela cría tres gallinas detrás del viejo granero.", "Llovió toda la noche y el río había crecido por la mañana.", "Vendió su bicicleta porque nadie arreglaba los frenos.", "Apenas quedaba pan cuando volvimos a casa.", "Nuestros vecinos cantan en el coro todos los jueves."],
+    "pt": ["A minha avó cria três galinhas atrás do velho celeiro.", "Choveu a noite inteira e o rio tinha subido de manhã.", "Ela vendeu a bicicleta porque ninguém consertava os travões.", "Quase não havia pão quando chegámos a casa.", "Os nossos vizinhos cantam no coro todas as quintas-feiras."],
+    "ru": ["Моя бабушка держит трёх кур за старым сараем.", "Всю ночь шёл дождь, и к утру река поднялась.", "Она продала велосипед, потому что никто не чинил тормоза.", "Когда мы вернулись домой, хлеба почти не осталось.", "Наши соседи поют в хоре каждый четверг."],
+    "zh": ["我的祖母在旧谷仓后面养了三只母鸡。", "下了一整夜的雨，早上河水涨了起来。", "她把自行车卖掉了，因为没有人修刹车。", "我们回到家的时候，面包几乎没有了。", "我们的邻居每个星期四都去合唱团唱歌。"],
+    "ja": ["祖母は古い納屋の裏で三羽の鶏を飼っています。", "一晩中雨が降ったので、朝には川の水が増えていました。", "誰もブレーキを直さないので、彼女は自転車を売りました。", "家に帰ったとき、パンはほとんど残っていませんでした。", "近所の人たちは毎週木曜日に合唱団で歌います。"],
+}
+
+
+def test_prose_of_other_subjects(spark, sf):
+    """Models trained on the tables, tried on texts that no generator of theirs wrote: single languages, and two in one."""
+    model = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    singles = [(10_000 + i, " ".join(s), None) for i, s in enumerate(PROSE.values())]
+    pairs = [(a, b) for a in PROSE for b in PROSE if a < b]
+    doubles = [(20_000 + i, " ".join(PROSE[a]) + "\n\n" + " ".join(PROSE[b]), None) for i, (a, b) in enumerate(pairs)]
+    got: dict[int, set[str]] = {}
+    for r in L.cases(L.identify(model.unionByName(spark.createDataFrame(singles + doubles, "doc_id bigint, text string, lang string")))).where("doc_id >= 10000").collect():
+        got.setdefault(r.doc_id, set()).add(r.lang)
+    assert sum(got.get(10_000 + i) == {k} for i, k in enumerate(PROSE)) == len(PROSE)
+    assert sum(got.get(20_000 + i) == {a, b} for i, (a, b) in enumerate(pairs)) >= 0.9 * len(pairs)

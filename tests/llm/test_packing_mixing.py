@@ -93,13 +93,13 @@ def test_counts_of_very_many_slots_are_drawn():
     assert (abs(drawn.var(0) / var - 1) < 0.2).all()
 
 
-def test_large_draws_are_hypergeometric():
+def test_draws_are_hypergeometric():
     rng = np.random.default_rng(3)
-    for good, bad, drawn in ((6, 9, 7), (40, 25, 50), (3, 5000, 2500), (700, 800, 600)):
+    for good, bad, drawn in ((1, 1, 1), (2, 3, 1), (6, 9, 7), (40, 25, 50), (3, 5000, 2500), (1, 999, 10), (700, 800, 600)):
         pmf = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
-        got = np.bincount([M._large(good, bad, drawn, rng) for _ in range(20_000)], minlength=good + 1)
+        got = np.bincount([M.hypergeometric(good, bad, drawn, rng) for _ in range(20_000)], minlength=good + 1)
         assert all(abs(got[k] - 20_000 * p) < 5 * math.sqrt(20_000 * p * (1 - p)) + 1 for k, p in pmf.items()) and sum(got[k] for k in pmf) == 20_000
-    assert M._large(0, 10, 4, rng) == 0 and M._large(10, 0, 4, rng) == 4 and M._large(10, 10, 20, rng) == 10
+    assert M.hypergeometric(0, 10, 4, rng) == 0 and M.hypergeometric(10, 0, 4, rng) == 4 and M.hypergeometric(10, 10, 20, rng) == 10
 
 
 def test_mix(spark):

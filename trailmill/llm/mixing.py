@@ -32,8 +32,6 @@ from .tokens import VOCABULARY, count_column
 BLOCK = 512
 SHARD = 1024
 _U = np.uint64
-#: From this many slots on numpy draws no hypergeometric; there `_large` does.
-_DRAWS = 900_000_000
 
 
 def _stirling_error(n: float) -> float:
@@ -63,8 +61,8 @@ def _log_binomial(x: int, n: int, p: float) -> float:
     return size + _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
 
 
-def _large(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
-    """A hypergeometric draw for counts of any size: rejection from a table mountain hat (Stadlober's HRUA)."""
+def hypergeometric(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """A draw for counts of any size: rejection from a table mountain hat (Stadlober's HRUA)."""
     low, high = max(0, drawn - bad), min(good, drawn)
     if low == high:
         return low
@@ -82,13 +80,11 @@ def _large(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
 
 
 def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
-    total = int(counts.sum())
-    if total < _DRAWS:
-        return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    out = np.zeros_like(counts)
+    """How many of each of `counts` are among `left` that are drawn from all, one count after the other."""
+    total, out = int(counts.sum()), np.zeros_like(counts)
     for i, n in enumerate(counts.tolist()):
         total -= n
-        out[i] = _large(n, total, left, rng)
+        out[i] = hypergeometric(n, total, left, rng)
         left -= int(out[i])
     return out
 
