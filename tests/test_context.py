@@ -4,6 +4,7 @@ import pytest
 from conftest import MESSAGES, msg
 from pyspark.sql import functions as F
 
+from trailmill.functions.tokenizers import VOCABULARY
 from trailmill.operators import context
 
 COSTS = "row_id int, costs array<bigint>"
@@ -89,3 +90,13 @@ def test_tokens(spark):
     ids = F.array(*map(F.lit, range(10)))
     one = spark.range(1).select(context.limit_response(ids, F.lit(4), 5, 2).alias("a"), context.limit_response(ids, F.lit(4), 50, 2, 6).alias("b"), context.limit_response(ids, F.lit(90), 5, 2).alias("c"), context.keep_tokens(ids, 3).alias("k"), context.keep_tokens(ids, 3, False).alias("f")).first()
     assert (one.a.ids, one.a.stop_reason, one.b.ids, one.c.ids, one.k, one.f) == ([0, 1, 2], "length", [0, 1], [], [7, 8, 9], [0, 1, 2])
+
+
+def test_short_prompts(spark):
+    rows = [(1, [msg("user", "word " * 40)]), (2, [msg("user", "hi")]), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, f"row_id bigint, messages {MESSAGES}")
+    assert sorted(r.row_id for r in context.short_prompts(df, "row_id", 20).collect()) == [2, 3, 4]
+    assert sorted(r.row_id for r in context.short_prompts(df, "row_id", 20, VOCABULARY).collect()) == [2, 3, 4]
+    plain = {r.row_id: r.tokens for r in context.message_tokens(df, "row_id", VOCABULARY).collect()}
+    framed = {r.row_id: r.tokens for r in context.message_tokens(df, "row_id", VOCABULARY, frame=("<start>", "\n", "<end>\n")).collect()}
+    assert plain[3] == plain[4] == 0 and framed[2] > plain[2] and context.message_tokens(df.limit(0), "row_id").count() == 0

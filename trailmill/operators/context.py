@@ -24,12 +24,17 @@ def char_costs(messages: Column) -> Column:
     return F.transform(M.listed(messages), M.message_chars)
 
 
-def token_costs(rows: DataFrame, key: str, path: str, name: str = "costs") -> DataFrame:
-    """(key, costs): exact tokens of each message as `[role]\\ncontent\\n` with its call arguments."""
+#: What stands before the role, after it, and after the message, where no chat template is given.
+FRAME = ("[", "]\n", "\n")
+
+
+def token_costs(rows: DataFrame, key: str, path: str, name: str = "costs", frame: tuple[str, str, str] = FRAME) -> DataFrame:
+    """(key, costs): exact tokens of each message with its role and call arguments in a chat template's frame."""
+    before, between, after = frame
     text = F.transform(
         M.listed(F.col("messages")),
-        lambda m: F.concat(F.lit("["), F.coalesce(m["role"], F.lit("user")), F.lit("]\n"), F.coalesce(m["content"], F.lit("")),
-                           F.array_join(F.coalesce(F.transform(m["tool_calls"], lambda c: c["function"]["arguments"]), F.array().cast("array<string>")), ""), F.lit("\n")),
+        lambda m: F.concat(F.lit(before), F.coalesce(m["role"], F.lit("user")), F.lit(between), F.coalesce(m["content"], F.lit("")),
+                           F.array_join(F.coalesce(F.transform(m["tool_calls"], lambda c: c["function"]["arguments"]), F.array().cast("array<string>")), ""), F.lit(after)),
     )
     kind = dict(rows.dtypes)[key]
 
@@ -42,6 +47,21 @@ def token_costs(rows: DataFrame, key: str, path: str, name: str = "costs") -> Da
     return map_arrow(rows.select(key, text.alias("texts")), count, f"`{key}` {kind}, `{name}` array<bigint>")
 
 
+def message_tokens(rows: DataFrame, key: str, path: str | None = None, name: str = "tokens", frame: tuple[str, str, str] = FRAME) -> DataFrame:
+    """(key, tokens) of each row's messages: exact with the vocabulary at `path`, estimated from the characters without."""
+    if path is None:
+        return rows.select(key, M.estimated_tokens(M.chars(F.col("messages"))).alias(name))
+    return token_costs(rows, key, path, "_costs", frame).select(key, total(F.col("_costs")).alias(name))
+
+
+def short_prompts(rows: DataFrame, key: str, most: int = 4096, path: str | None = None, frame: tuple[str, str, str] = FRAME) -> DataFrame:
+    """Rows whose `messages` have at most `most` tokens. Rows with an estimate are filtered as they are read; exact counts
+    are joined by `key`, which is unique and not null."""
+    if path is None:
+        return rows.where(M.estimated_tokens(M.chars(F.col("messages"))) <= most)
+    return rows.join(message_tokens(rows, key, path, "_tokens", frame).where(F.col("_tokens") <= most).select(key), key, "left_semi").select(*rows.columns)
+
+
 def total(costs: Column) -> Column:
     return F.aggregate(F.coalesce(costs, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, c: n + F.coalesce(c, F.lit(0)))
 

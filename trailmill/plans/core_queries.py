@@ -780,6 +780,77 @@ def response_limits(spark, sf):
     return rows.select("rollout_id", "received_at", context.limit_response(F.col("ids"), F.col("p"), 300, 20, 260).alias("r")).select("rollout_id", "received_at", F.size("r.ids").alias("kept"), "r.stop_reason")
 
 
+@query(f"WITH {_SIZES} SELECT row_id, n_messages FROM sized WHERE tokens <= 4096")
+def short_prompts(spark, sf):
+    """The rows within a length, kept in a cache and read from it."""
+    base, settings = scratch_path(spark, "prompts"), {"inputs": [sf], "tokenizer": "estimate", "max_length": 4096}
+    kept, _ = cache.cached(spark, base, settings, lambda: context.short_prompts(_sft(spark, sf), "row_id", 4096))
+    return kept.select("row_id", F.greatest(F.coalesce(F.size("messages"), F.lit(0)), F.lit(0)).alias("n_messages"))
+
+
+_ID = f"""CASE WHEN {_true('instance_id')} THEN json_extract_string(j, '$.instance_id') WHEN {_true('id')} THEN json_extract_string(j, '$.id') WHEN {_true('metadata.instance_id')} THEN json_extract_string(j, '$.metadata.instance_id')
+    WHEN {_true('metadata.sample_id')} THEN regexp_replace(json_extract_string(j, '$.metadata.sample_id'), '^.*?::', '') END"""
+_EXPERT_LIST = "coalesce(" + ", ".join(f"({_list(p)})" for p in P.CONTAINERS if p != "trajectory.messages") + ", 0)"
+
+
+@query(
+    f"""WITH {_J}, r AS (SELECT {_ID} AS id, {_default('false')} AS resolved, {_DIFFICULTY} AS difficulty, {_EXPERT_LIST} AS n FROM raws)
+        SELECT CASE WHEN n = 0 OR coalesce(id, '') = '' THEN 'no_messages' END AS reason, count(*) AS rows FROM r WHERE resolved AND (difficulty IS NULL OR difficulty BETWEEN 4.0 AND 6.0) GROUP BY 1"""
+)
+def expert_pipeline(spark, sf):
+    """Rows the expert pipeline keeps (null) and rejects by reason."""
+    kept, rejected = pipelines.expert_rows(_raw(spark, sf), "expert", max_samples=None, max_chars=10**9)
+    return kept.select(F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("reason", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+
+
+_PLAIN_LIST = lambda p: f"CASE WHEN json_type({_x(p)}) = 'ARRAY' AND json_array_length({_x(p)}) > 0 THEN json_array_length({_x(p)}) END"
+
+
+@query(
+    f"""WITH {_J}, r AS (SELECT *, row_number() OVER (ORDER BY file_id, line_no, received_at, j::VARCHAR) - 1 AS k FROM raws)
+        SELECT coalesce(CASE WHEN json_type({_x('instance_id')}) IN ('VARCHAR', 'BIGINT', 'UBIGINT') THEN nullif(json_extract_string(j, '$.instance_id'), '') END, CASE WHEN json_type({_x('id')}) IN ('VARCHAR', 'BIGINT', 'UBIGINT') THEN nullif(json_extract_string(j, '$.id'), '') END, printf('traj_%05d', k)) AS instance_id,
+            coalesce({', '.join(f'({_PLAIN_LIST(p)})' for p in ('messages', 'conversation', 'trajectory'))})::INT AS n_messages FROM r WHERE {_PLAIN} AND coalesce({', '.join(f'({_PLAIN_LIST(p)})' for p in ('messages', 'conversation', 'trajectory'))}, 0) > 0"""
+)
+def supplement_pipeline(spark, sf):
+    """Rows of a supplement, those without an id named by their position in the whole input."""
+    lines = table(spark, sf, "raw_records").where("raw IS NOT NULL")
+    records = parse(lines.select("file_id", "line_no", "received_at", "raw")).where("record IS NOT NULL AND schema_of_variant(record) LIKE 'OBJECT%'")
+    out = pipelines.supplement_rows(records, "supplement", "file_id", "line_no", "received_at", "raw", max_chars=10**9)
+    return out.select("instance_id", F.size("messages").alias("n_messages"))
+
+
+@query(
+    """SELECT i.instance_id, md5(coalesce(nullif(problem_statement, ''), nullif(issue_body, ''), '')) AS prompt, 'pool' AS source, count(*) AS rows FROM instances i
+        WHERE i.instance_id IN (SELECT instance_id FROM rollouts WHERE reward >= 1 AND instance_id IS NOT NULL) GROUP BY ALL"""
+)
+def rl_pool(spark, sf):
+    listed = _rollouts(spark, sf).where("reward >= 1").select("instance_id")
+    pool = pipelines.rl_pool(table(spark, sf, "instances"), "pool", listed)
+    return pool.groupBy("instance_id", F.md5("problem_statement").alias("prompt"), "source").agg(F.count("*").alias("rows"))
+
+
+@query(
+    f"""WITH s AS (SELECT coalesce(source, 'unknown') AS source FROM sft_merged UNION ALL SELECT '{MINOR}' FROM repair_audit WHERE false), c AS (SELECT count_if(source = '{MAJOR}') AS a, count_if(source = '{MINOR}') AS b FROM s)
+        SELECT source, (count(*) + CASE WHEN source = '{MINOR}' AND max(a) > 0 AND max(b) > 0 THEN greatest(floor((max(a) + max(b)) * {MIN_FRACTION}::DOUBLE) - max(b), 0) ELSE 0 END)::BIGINT AS rows FROM s, c GROUP BY source"""
+)
+def merge_pipeline(spark, sf):
+    """Two inputs merged, the minor source repeated up to its share."""
+    rows = _sft(spark, sf)
+    parts = [rows.where("row_id % 2 = 0"), rows.where("NOT coalesce(row_id % 2 = 0, false)")]  # together all rows
+    return metrics.counts(pipelines.merge(parts, MAJOR, MINOR, MIN_FRACTION), F.col("source"), "source")
+
+
+_TASK = "doc_id % 7"
+
+
+@query(f"SELECT doc_id, {_TASK} AS task_id, coalesce(length(text), 0)::INT AS chars, ({_TASK}) * 10 AS weight FROM documents")
+def completion_task_join(spark, sf):
+    """Completions joined to their tasks by number."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).alias("task_id"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    tasks = spark.range(7).select(F.col("id").alias("task_id"), (F.col("id") * 10).alias("weight"))
+    return pipelines.with_tasks(tasks, docs).select("doc_id", "task_id", "chars", "weight")
+
+
 _ENTRIES = "('a', 'acc,none', 0.5, 0), ('a', 'pass@1_stderr,create', 0.01, 1), ('a', 'pass@1,create', 0.25, 2), ('b', 'pass_at_1', 0.75, 0), ('b', 'pass_at_1_stderr', 0.02, 1), ('c', 'acc', 1.0, 0)"
 
 

@@ -131,10 +131,15 @@ def task_rows(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", prompt.alias("prompt"), "test_list", X.import_lines(F.col("test_setup_code")).alias("test_imports"))
 
 
+def with_tasks(tasks: DataFrame, completions: DataFrame, key: str = "task_id") -> DataFrame:
+    """Each completion with the task of its number; completions without one are left out."""
+    return completions.join(tasks, key)
+
+
 def score_completions(tasks: DataFrame, completions: DataFrame, allow: bool = False) -> DataFrame:
     """Per-sample results (task_id, passed, total, pass_all, has_code, execution_reward) of completions (task_id, text);
     banned texts are not looked for here. Runs generated code: has to be allowed."""
-    joined = tasks.select("task_id", "test_list", "test_imports").join(completions.select("task_id", "text"), "task_id")
+    joined = with_tasks(tasks.select("task_id", "test_list", "test_imports"), completions.select("task_id", "text"))
     return rewards.execution_reward(joined, "task_id", "text", "test_list", "test_imports", allow=allow, check_safety=False)
 
 
