@@ -12,7 +12,8 @@ from ..operators import context, joins, metrics, predicates as P, rewards, sampl
 from ..operators.drift import parse
 from ..session import scratch_path, table
 from ..sources import cache, json_files as J
-from ..streaming.tables import run_complete, streamed
+from ..streaming import rollout_queue as queue
+from ..streaming.tables import run_append, run_complete, streamed
 from . import pipelines
 
 BUDGET = 20_000
@@ -668,6 +669,39 @@ def stream_daily_status(spark, sf):
     return run_complete(counted.select(F.col("w.start").alias("day"), "exit_status", "rows")).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query("SELECT repetition_id::INT AS step, count(*) AS rollouts, round(avg(reward), 6) AS mean_reward, count_if(coalesce(reward >= 1, false))::BIGINT AS resolved FROM rollouts WHERE repetition_id % 2 = 0 GROUP BY 1")
+def stream_step_snapshots(spark, sf):
+    """Snapshots for every second step, as they are handed on; the last of each step stands."""
+    folder = scratch_path(spark, "snapshots")
+    stream = streamed(spark, sf, "rollouts").select(F.col("repetition_id").cast("int").alias("step"), F.col("reward").cast("int").alias("reward"))
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/data")
+    queue.step_snapshots(stream, 2, write, f"{folder}/state").awaitTermination()
+    rows = spark.read.schema("step int, rollouts bigint, mean_reward double, resolved bigint, batch int").parquet(f"{folder}/data")
+    last = rows.groupBy("step").agg(F.max_by(F.struct("rollouts", "mean_reward", "resolved"), "batch").alias("s"))
+    return last.select("step", "s.rollouts", F.round("s.mean_reward", 6).alias("mean_reward"), "s.resolved")
+
+
+@query(
+    """WITH j AS (SELECT DISTINCT rollout_id, finished_at FROM rollouts WHERE finished_at IS NOT NULL),
+        r AS (SELECT j.*, r.received_at, r.reward, r.exit_status, row_number() OVER (PARTITION BY j.rollout_id, j.finished_at ORDER BY r.received_at DESC, r.reward DESC NULLS LAST, r.exit_status DESC NULLS LAST) AS k
+            FROM j JOIN rollouts r ON r.rollout_id = j.rollout_id AND r.received_at BETWEEN j.finished_at AND j.finished_at + INTERVAL 2 HOURS)
+        SELECT j.rollout_id::VARCHAR AS job_id, j.finished_at AS created_at, r.reward, r.exit_status AS error, r.received_at AS result_at FROM j LEFT JOIN r ON r.rollout_id = j.rollout_id AND r.finished_at = j.finished_at AND r.k = 1"""
+)
+def stream_job_results(spark, sf):
+    """Rollouts as jobs and as results, through the queue's folders; jobs and results far ahead close the last deadlines."""
+    folder, rows = scratch_path(spark, "queue"), _rollouts(spark, sf)
+    at = lambda c: F.col(c).cast("timestamp")
+    ahead = lambda c: (F.max(c) + F.expr("INTERVAL 3 DAYS")).cast("timestamp")
+    jobs = rows.where("finished_at IS NOT NULL").select(F.col("rollout_id").cast("string").alias("job_id"), F.lit("p").alias("payload"), at("finished_at").alias("created_at"))
+    results = rows.select(F.col("rollout_id").cast("string").alias("job_id"), F.col("reward").cast("int").alias("reward"), F.col("exit_status").alias("error"), at("received_at").alias("result_at"))
+    last_job = rows.select(F.lit("last").alias("job_id"), F.lit("p").alias("payload"), F.greatest("finished_at", "received_at").alias("t")).groupBy("job_id", "payload").agg(ahead("t").alias("created_at"))
+    last_result = rows.select(F.lit("none").alias("job_id"), F.greatest("finished_at", "received_at").alias("t")).groupBy("job_id").agg(F.lit(0).alias("reward"), F.lit("x").alias("error"), ahead("t").alias("result_at"))
+    for df, name in ((jobs.unionByName(last_job), "jobs"), (results.unionByName(last_result), "results")):
+        df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/{name}")
+    matched = run_append(queue.correlate(queue.jobs(spark, f"{folder}/jobs", 1_000_000), queue.results(spark, f"{folder}/results")))
+    return matched.where("job_id <> 'last'").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "result_at")})
+
+
 _BEST = """best AS (SELECT r.instance_id, coalesce(any_value(v.score), -1.0) AS score, coalesce(any_value(v.patch), '') AS patch FROM rollouts r LEFT JOIN
     (SELECT instance_id, score, patch, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, repetition_id, rollout_id, received_at) AS k FROM rollouts WHERE score IS NOT NULL AND NOT isnan(score) AND score > -1) v
     ON v.instance_id = r.instance_id AND v.k = 1 WHERE r.instance_id IS NOT NULL GROUP BY 1)"""

@@ -26,3 +26,12 @@ def run_complete(aggregate: DataFrame) -> DataFrame:
     query = aggregate.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(aggregate.schema).parquet(f"{out}/data")
+
+
+def run_append(rows: DataFrame) -> DataFrame:
+    """What a stream in append mode gives over all that is there, as a table in the shared folder; the sink's log keeps a
+    batch that is done again from being written twice."""
+    spark = rows.sparkSession
+    out = scratch_path(spark, "stream")
+    rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/data")
