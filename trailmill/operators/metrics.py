@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import running_total
+from ..functions.skew import join_by_weight
+from ..session import cut
 
 PERCENTS = (50, 90, 95, 99)
 
@@ -43,14 +45,12 @@ def recommend(rows: DataFrame, length: str, percentile: int = 95, block: int = 4
 
 
 def advantages(rollouts: DataFrame, groups: list[str], reward: str = "reward") -> DataFrame:
-    """Adds group_mean and advantage = reward - mean of its group. Means are joined, so no task sorts a large group."""
-    means = rollouts.groupBy(*groups).agg(F.avg(F.col(reward).cast("double")).alias("group_mean"))
-    on = None
-    for g in groups:
-        means = means.withColumnRenamed(g, f"_{g}")
-        same = F.col(g).eqNullSafe(F.col(f"_{g}"))
-        on = same if on is None else on & same
-    return rollouts.join(means, on).drop(*(f"_{g}" for g in groups)).withColumn("advantage", F.col(reward) - F.col("group_mean"))
+    """Adds group_mean and advantage = reward - mean of its group; null keys are a group. Means are joined, so no task
+    sorts a large group, and the rows of a group that has many of all rows are spread (`join_by_weight`)."""
+    keyed = rollouts.withColumns({"_group": F.struct(*groups), "_place": F.monotonically_increasing_id()})
+    means = cut(keyed.groupBy("_group").agg(F.avg(F.col(reward).cast("double")).alias("group_mean"), F.count("*").alias("_rows")))
+    joined = join_by_weight(keyed, means, ["_group"], "_rows", "_place")
+    return joined.drop("_group", "_place", "_rows").withColumn("advantage", F.col(reward) - F.col("group_mean"))
 
 
 def positive(rows: DataFrame, reward: str = "reward") -> DataFrame:
