@@ -25,3 +25,11 @@ def test_scratch_tables_are_removed(spark):
     assert not fs.exists(at) and S._SCRATCH == []
     S._SCRATCH[:] = before
     fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept))
+
+
+def test_small_tables_are_spread_and_others_left(spark):
+    one, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, 64)
+    assert S.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.id for r in S.spread(one, "id").collect()) == list(range(100))
+    assert S.spread(many, "id") is many
+    shuffled = one.groupBy("id").count()
+    assert S.spread(shuffled, "id") is shuffled

@@ -74,6 +74,15 @@ def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, for costly work on each row: over all cores if it is read in fewer parts than there are cores (a small
+    table in one file), else as it is. Plans with exchanges keep what these make of them."""
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in execution.executedPlan().nodeName() or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 _OWN: list[str] = []
 _SCRATCH: list[str] = []
 
