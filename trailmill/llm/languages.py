@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import map_arrow
+from ..session import map_arrow, spread
 
 #: The languages, with their three-letter codes and English names.
 LANGUAGES = {
@@ -303,7 +303,7 @@ def identify(documents: DataFrame, key: str = "doc_id", penalty: float = PENALTY
         f"id {kind}, label string, langs array<struct<lang string, sentences int, share double, confidence double>>, "
         "segments array<struct<char_from bigint, char_to bigint, lang string, sentences int, confidence double>>"
     )
-    return map_arrow(documents.select(key, "text", "lang"), _identify(model, codes, penalty), schema).withColumnRenamed("id", key)
+    return map_arrow(spread(documents.select(key, "text", "lang"), key), _identify(model, codes, penalty), schema).withColumnRenamed("id", key)
 
 
 def cases(identified: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.skew import join_by_weight
-from ..session import cut, map_arrow, scratch_path
+from ..session import cut, map_arrow, scratch_path, spread
 from .components import components
 from .texts import strings
 
@@ -362,7 +362,7 @@ def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def sketch_table(records: DataFrame, key: str = "row_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, same, size, registers, bands, prints) of every record that has a set, as a table in the shared folder."""
     spark, path = records.sparkSession, scratch_path(records.sparkSession, "sketches")
-    made = map_arrow(_texts(records, key), _sketch(bands, rows), "id bigint, same binary, size int, registers binary, bands array<bigint>, prints binary")
+    made = map_arrow(spread(_texts(records, key), "id"), _sketch(bands, rows), "id bigint, same binary, size int, registers binary, bands array<bigint>, prints binary")
     made.write.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.instance_ids import issue_suffix, repo_name, unified_id
-from ..session import map_arrow
+from ..session import map_arrow, spread
 from .splits import names_of
 from .texts import strings
 from .tokens import SAFE_CUT, VOCABULARY, encoder
@@ -101,7 +101,7 @@ def row_tokens(rows: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFrame
     kept = ["row_id", *keep]
     texts = rows.where("row_id IS NOT NULL").select(*kept, strings(F.col("messages")).alias("_texts"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    return map_arrow(texts, _count(kept, path), f"{types}, n_tokens bigint, usable boolean")
+    return map_arrow(spread(texts, "row_id"), _count(kept, path), f"{types}, n_tokens bigint, usable boolean")
 
 
 def plain_tokens(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:

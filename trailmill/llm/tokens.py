@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.tokenizers import VOCABULARY as VOCABULARY, rank_file as encoder
-from ..session import map_arrow
+from ..session import map_arrow, spread
 
 #: Places where a text can be cut without changing its tokens: the pattern never joins a character that is no white
 #: space with white space after it, and never looks back.
@@ -29,4 +29,4 @@ def count_column(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "
             rest = [c for i, c in enumerate(batch.columns) if i != place]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64())], names=[*(f.name for f in kept), name])
 
-    return map_arrow(df, count, f"{types}, `{name}` bigint")
+    return map_arrow(spread(df, kept[0].name) if kept else df, count, f"{types}, `{name}` bigint")
